@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, oracles, packing, quality_rules, url_trust, warc
+from maskwright.llm import decontaminate, oracles, packing, quality_rules, surrogates, url_trust, warc
 from maskwright.llm.workspace import table
 
 #: Fixed by the contract of op10: (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
+#: In production a secret of the deployment; fixed here so that a query gives the same rows each time.
+PII_KEY = "maskwright"
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -37,10 +40,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed, _ = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return changed.select("doc_id", "text", "n_entities")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_trust.judge(table(spark, sf_dir, "pages"), url_trust.rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op5_best_fit_packing, op6_warc, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op5_best_fit_packing, op6_warc, op9_pii_surrogates, op10_url_filters)}
 ORACLES: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION}
