@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, licences, oracles, packing, quality_rules, surrogates, url_trust, warc
+from maskwright.llm import decontaminate, licences, lm_score, oracles, packing, quality_rules, surrogates, url_trust, warc
 from maskwright.llm.workspace import table
 
 #: Fixed by the contract of op10: (verdict, host, path).
@@ -45,6 +45,10 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("identifiers", ",").alias("identifiers"), F.array_join("licences", ",").alias("licences"), (F.size("licences") > 0).alias("licensed"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed, _ = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return changed.select("doc_id", "text", "n_entities")
@@ -55,5 +59,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op5_best_fit_packing, op6_warc, op7_licence_scan, op9_pii_surrogates, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op5_best_fit_packing, op6_warc, op7_licence_scan, op8_lm_scoring, op9_pii_surrogates, op10_url_filters)}
 ORACLES: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION}
