@@ -6,8 +6,8 @@ Sequences with at most ``slack`` free tokens are final; the underfull ones becom
 all that is left, or a round no longer lowers the count by a fiftieth: random groups of that many items then fill no better
 together than apart.
 
-The tokenizer's pre-tokenizer never joins across white space, so ids are looked up by white-space-delimited chunk, and only
-chunks that a worker has not met go through the tokenizer. No text is shuffled: an item carries doc_id, piece, start, length
+Ids come from ``word_bpe``: they are looked up by white-space-delimited chunk, and only chunks that a worker has not met are
+encoded. No text is shuffled: an item carries doc_id, piece, start, length
 and checksum of its members (at most ``capacity`` of them, as a piece has a token at least).
 
 Null or empty text: the separator id alone. Repeated rows are packed as often as they come. Empty table: empty result. Other
@@ -17,21 +17,20 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
-import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.textblocks import blocks
+from maskwright.llm.word_bpe import WordBpe
 from maskwright.llm.workspace import stage
 
 _MEMBERS = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
 _KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 _SCHEMA = "free int, doc_id array<long>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>, offset array<long>"
-_CACHE_WORDS = 400_000
 _LOCAL_ITEMS = 100_000
 
 
@@ -63,26 +62,10 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _chunk_encoder(tokenizer_path: str) -> Callable[[list[bytes]], bytes]:
-    """A function from white-space-delimited chunks to their ids as little-endian unsigned 32-bit integers."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[bytes, bytes] = {}
-
-    def encode(chunks: list[bytes]) -> bytes:
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), strict=True):
-                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
-
-    return encode
+@functools.cache
+def _encoder(tokenizer_path: str) -> WordBpe:
+    """One for each worker process: what one task has met, the next need not encode again."""
+    return WordBpe(tokenizer_path)
 
 
 def _rows(bins: list[tuple[int, list[tuple]]], limit: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -108,12 +91,12 @@ def _joined(items: list[tuple[int, list[tuple]]], capacity: int) -> list[tuple[i
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity: int, separator: int) -> Iterator[pa.RecordBatch]:
-    encode = _chunk_encoder(tokenizer_path)
+    encoder = _encoder(tokenizer_path)
     end = separator.to_bytes(4, "little")
     items: list[tuple[int, list[tuple]]] = []
     for part, texts in blocks(batches, "text"):
-        for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-            ids = encode(text.split()) + end
+        for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_texts(texts), strict=True):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 own = ids[at : at + 4 * capacity]
                 items.append((len(own) // 4, [(doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), 0)]))
