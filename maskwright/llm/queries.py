@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, licences, lm_score, near_duplicates, oracles, packing, quality_rules, surrogates, url_trust, warc
+from maskwright.llm import decontaminate, licences, lm_score, near_duplicates, oracles, packing, quality_rules, repeated_strings, surrogates, url_trust, warc
 from maskwright.llm.workspace import table
 
 #: Fixed by the contract of op10: (verdict, host, path).
@@ -28,6 +28,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join_components(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_warc, op7_licence_scan, op8_lm_scoring, op9_pii_surrogates, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_warc, op7_licence_scan, op8_lm_scoring, op9_pii_surrogates, op10_url_filters)}
 ORACLES: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION, "op3_ngram_jaccard_join": oracles.JACCARD_COMPONENTS}
