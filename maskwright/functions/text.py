@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: characters that may stand between the parts of a name or term.
 JOINTS = r"[\s・·.\-_]"
@@ -30,18 +31,18 @@ PARTICLES = ("가", "는", "를", "도", "랑", "한")
 UNIT = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^A-Za-z\d]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _norm_unicode(surface: pd.Series) -> pd.Series:
     joints = re.compile(JOINTS)
     return surface.map(lambda s: None if s is None else joints.sub("", unicodedata.normalize("NFKC", s).casefold()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(surface: pd.Series) -> pd.Series:
     return surface.map(lambda s: None if s is None else s.casefold())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two strings (order-sensitive, not an edit distance)."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")

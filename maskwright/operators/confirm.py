@@ -39,7 +39,7 @@ def items(lines: DataFrame, head: str) -> DataFrame:
     )
     state = F.when(F.trim(F.lower("state")) == "", " ").otherwise(F.lower("state"))
     digit = F.regexp_extract("level", r"^(\d)", 1)
-    split = F.filter(F.transform(F.split(F.coalesce("surfaces", F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(F.coalesce("surfaces", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return got.select("file", "item", state.alias("state"), "n", "title", F.when(F.coalesce("kind", F.lit("")) == "", "TERM").otherwise(F.upper("kind")).alias("kind"), F.when(F.coalesce(digit, F.lit("")) == "", 2).otherwise(digit.cast("int")).alias("level"), F.coalesce("alias", F.lit("")).alias("alias"), split.alias("surfaces"))
 
 
@@ -104,7 +104,7 @@ def apply_review(glossary: DataFrame, chosen: DataFrame) -> DataFrame:
     kept = glossary.join(more, "id", "left").select("id", "kind", "level", "status", F.array_distinct(F.concat("surfaces", F.coalesce("more", F.array().cast("array<string>")))).alias("surfaces"), "alias")
     kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("TERM")
     new = chosen.join(hit.filter("owner is null").select("file", "item"), ["file", "item"]).withColumn("kind", kind)
-    top = glossary.groupBy(F.regexp_extract("id", r"^(.*)_\d+$", 1).alias("kind")).agg(F.max(F.regexp_extract("id", r"_(\d+)$", 1).cast("int")).alias("top"))
+    top = glossary.groupBy(F.regexp_extract("id", r"^(.*)_\d+$", 1).alias("kind")).agg(F.max(F.regexp_extract("id", r"_(\d+)$", 1).try_cast("int")).alias("top"))
     turn = F.row_number().over(Window.partitionBy("kind").orderBy("file", "item"))
     made = new.withColumn("turn", turn).join(top, "kind", "left").select(F.concat("kind", F.lit("_"), padded(F.coalesce("top", F.lit(0)) + F.col("turn"), 2)).alias("id"), "kind", "level", F.lit("confirmed").alias("status"), "surfaces", "alias")
     return kept.unionByName(made)

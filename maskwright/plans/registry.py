@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from maskwright.plans import rule_queries
+from maskwright.plans import logic_queries, rule_queries, text_queries
 
-QUERIES = {**rule_queries.QUERIES}
-ORACLES = {**rule_queries.ORACLES}
+MODULES = (rule_queries, text_queries, logic_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+FLAGSHIP = logic_queries.gate_documents
