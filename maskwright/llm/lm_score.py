@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.textblocks import NOT_SPACE, Words, blocks, mix
+from maskwright.llm.textblocks import BLOCK_BYTES, NOT_SPACE, Words, blocks, mix
 from maskwright.llm.workspace import partitions, stage
 
 _BITS = 56
@@ -58,20 +58,27 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
 
 def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Index of the text of each word, and for each order the hashes of its n-grams with the index of their last word."""
-    w = Words([t.lower() for t in texts], NOT_SPACE)
-    out, h = [], w.hash
+    docs, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    start = 0
+    while start < len(texts):  # words of about a megabyte at a time: what is kept is a hash and an index for each
+        stop, size = start, 0
+        while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= BLOCK_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        w = Words([t.lower() for t in texts[start:stop]], NOT_SPACE)
+        docs.append(w.doc + start)
+        words.append(w.hash)
+        start = stop
+    doc, word = np.concatenate(docs), np.concatenate(words)
+    out, h = [], word
     at = np.arange(len(h))
     cut = np.uint64(64 - _BITS)
     for n in range(1, order + 1):
         if n > 1:
-            inside = w.doc[at] == w.doc[np.maximum(at - n + 1, 0)] if len(at) else np.zeros(0, bool)
-            inside &= at >= n - 1
-            keep = np.flatnonzero(inside)
-            h, at = mix(h[keep - 1] * np.uint64(0xFF51AFD7ED558CCD) + w.hash[at[keep]]), at[keep]  # of the context that ends one word before
-            w_at = np.full(len(w.hash), -1)
-            w_at[at] = np.arange(len(at))
+            keep = np.flatnonzero((at >= n - 1) & (doc[at] == doc[np.maximum(at - n + 1, 0)]))
+            h, at = mix(h[keep - 1] * np.uint64(0xFF51AFD7ED558CCD) + word[at[keep]]), at[keep]  # of the context that ends one word before
         out.append((h >> cut, at))
-    return w.doc, out
+    return doc, out
 
 
 def _gather(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -87,7 +94,7 @@ def _gather(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as out:
             out.write_batch(pa.RecordBatch.from_arrays([table], names=["doc_id"]))
-        n = int(Words(held, NOT_SPACE).counts.sum())
+        n = sum(len(t.split()) for t in held)
         cols = [uuid.uuid4().hex, sink.getvalue().to_pybytes(), _pack(np.array([len(t) for t in held], dtype=np.uint64)), press.compress(b"".join(held)), n, n]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["block", "doc_id", "sizes", "texts", "n_words", "runs"])
 
@@ -180,7 +187,7 @@ def _score(left: pa.Table, right: pa.Table, order: int, total: int, backoff: flo
     return pa.table({"doc_id": ids, "n_words": pa.array(words.astype(np.int64)), "log_score": pa.array(np.bincount(doc, weights=score, minlength=len(texts)))})
 
 
-def score(documents: DataFrame, order: int = 2, backoff: float = 0.4, least: int = 2, block_bytes: int = 12 << 20, partition_words: int = 3_000_000) -> DataFrame:
+def score(documents: DataFrame, order: int = 2, backoff: float = 0.4, least: int = 2, block_bytes: int = 8 << 20, partition_words: int = 3_000_000) -> DataFrame:
     """doc_id, n_words, log_score (natural logarithm, summed), mean_log_score for each row of (doc_id, text)."""
     spark = documents.sparkSession
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
