@@ -29,3 +29,34 @@ sides AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
 r AS (SELECT doc_id AS u, doc_id AS root FROM s UNION SELECT sides.v, r.root FROM r JOIN sides ON r.u = sides.u WHERE r.root < sides.v)
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(r.root)::BIGINT AS component_id FROM s JOIN r ON r.u = s.doc_id GROUP BY s.doc_id, len(g)
 """
+
+REPEATED_STRINGS = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 99, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops, sum(b - a) AS removed FROM s GROUP BY doc_id),
+kept AS (SELECT d.doc_id, length(h) // 2 AS n, coalesce(removed, 0) AS removed, coalesce(len(starts), 0) AS spans,
+  CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda k: substr(h, 1 + 2 * CASE WHEN k = 0 THEN 0 ELSE stops[k] END,
+    2 * (CASE WHEN k = len(starts) THEN length(h) // 2 ELSE starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE stops[k] END))), '') END AS k FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept
+"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS keeper FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, g * 5 + 1, 5))::INT >> s) & 31)::INT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k
+"""
+
+LM_SCORE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, w[k] AS x, CASE WHEN k > 1 THEN w[k - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+one AS (SELECT x, count(*) AS c FROM t GROUP BY x), two AS (SELECT p, x, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, x), n AS (SELECT count(*) AS total FROM t),
+s AS (SELECT t.doc_id, sum(CASE WHEN two.c >= 2 THEN ln(two.c / prior.c) ELSE ln(one.c / total) + CASE WHEN t.p IS NULL THEN 0 ELSE ln(0.4) END END) AS score
+  FROM t CROSS JOIN n JOIN one ON t.x = one.x LEFT JOIN two ON t.p = two.p AND t.x = two.x LEFT JOIN one AS prior ON t.p = prior.x GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
+"""
