@@ -13,8 +13,9 @@ That needs no full suffix array, only the order of suffixes up to ``length`` byt
   still have suffixes in common: only these, and marked ones, are taken apart into single suffixes and sorted once more.
 
 A bucket with one entry is done at once; that is nearly all of a text that does not repeat. Each task settles repeats within
-what it has read before anything is shuffled, so thousands of copies leave a task as a few entries, and entries are 40 bytes
-for about 35 bytes of text. Sorting, spilling and joining are Spark's; no bucket has to fit memory.
+what it has read before anything is shuffled, so thousands of copies leave a task as a few entries. A bucket's single suffixes
+go to one task, next to each other, which compresses them well; those of a bucket with many entries are dealt among several by
+their later pointers. Sorting, spilling and joining are Spark's; no bucket has to fit memory. Texts travel compressed.
 
 Suffixes are told apart by 52 bits of their least q-gram and 64 bits of their later pointers together. Null text: empty. Texts
 under ``length`` bytes: nothing removed. Rows that repeat a doc_id are one document given more than once. Null doc_id: before
@@ -41,9 +42,10 @@ _NULL_ID = -(2**63)
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 _ENTRY = "bucket long, later long, doc_id long, lo int, n int"
-_LOCAL_ROWS = 400_000
+_LOCAL_ROWS = 1_000_000
 _PLACE = np.uint64(0xFFF)
 _TWICE = 1024
+_BUCKET_ROWS = 64
 
 
 def pointers(data: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def _segments(ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple
 
 
 def entries(ids: list[int], offsets: list[int], pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """bucket, later, doc_id, lo, n: runs of neighbouring suffixes with one least pointer, at most 64 each.
+    """bucket, later, doc_id, lo, n: runs of neighbouring suffixes with one least pointer, at most as many as can share one.
 
     ``n`` is raised by ``_TWICE`` where the least pointer may stand twice in the run.
     """
@@ -114,7 +116,7 @@ def entries(ids: list[int], offsets: list[int], pieces: list[bytes], length: int
     cut[starts[:-1][starts[:-1] < len(least)]] = True
     first = np.flatnonzero(cut)
     place = np.arange(len(least)) - np.repeat(first, np.diff(np.append(first, len(least))))
-    first = np.flatnonzero(place % 64 == 0)
+    first = np.flatnonzero(place % width == 0)
     n = np.diff(np.append(first, len(least)))
     keep = ok[first]
     first, n = first[keep], n[keep]
@@ -126,25 +128,36 @@ def entries(ids: list[int], offsets: list[int], pieces: list[bytes], length: int
 
 
 def _settle(parts: list[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of equal entries the first stays; later ones go out marked (n < 0), as repeats that need not be looked at again."""
+    """Of equal entries the first stays; later ones go out marked (n < 0), neighbours as one, and need not be looked at again.
+    A sixth column marks entries that have nobody to meet elsewhere: what is left of them stays here. A seventh says among how
+    many parts the entries of a bucket are dealt by their later pointers; ``salt`` is an entry's part."""
     if not parts:
         return
-    bucket, later, doc, lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    bucket, later, doc, lo, n, *more = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((lo, doc, later, bucket))
-    bucket, later, doc, lo, n = (c[order] for c in (bucket, later, doc, lo, n))
+    bucket, later, doc, lo, n, *more = (c[order] for c in (bucket, later, doc, lo, n, *more))
     fresh = np.ones(len(bucket), dtype=bool)
     fresh[1:] = (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])
     head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     again = (doc > doc[head]) | ((doc == doc[head]) & (lo > lo[head]))
     same = ~fresh & ~again  # a row given more than once
-    n = np.where(again, -n, n)
-    spread = mix(np.arange(len(bucket), dtype=np.uint64)).view(np.int64)
-    bucket, later = np.where(again, spread, bucket), np.where(again, 0, later)
-    order = np.lexsort((lo, doc))
-    order = order[~same[order]]
-    for k in range(0, len(order), 1 << 16):
-        at = order[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(later[at]), pa.array(doc[at]), pa.array(lo[at].astype(np.int32)), pa.array(n[at].astype(np.int32))], names=names)
+    kept = np.flatnonzero(~again & ~same & ~more[0]) if more else np.flatnonzero(~again & ~same)
+    kept = kept[np.lexsort((lo[kept], doc[kept]))]
+    gone = np.flatnonzero(again)
+    gone = gone[np.lexsort((lo[gone], doc[gone]))]
+    size = n[gone] % _TWICE
+    joins = np.zeros(len(gone), dtype=bool)
+    joins[1:] = (doc[gone][1:] == doc[gone][:-1]) & (lo[gone][1:] == lo[gone][:-1] + size[:-1])
+    head = np.flatnonzero(~joins)
+    total = np.add.reduceat(size, head) if len(head) else size
+    spread = mix(lo[gone][head].astype(np.uint64) ^ (doc[gone][head].view(np.uint64) << np.uint64(24))).view(np.int64)
+    columns = [np.concatenate(c) for c in ((bucket[kept], spread), (later[kept], np.zeros(len(head), np.int64)), (doc[kept], doc[gone][head]), (lo[kept], lo[gone][head]), (n[kept], -total))]
+    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32]
+    if more:
+        ways = np.concatenate((more[1][kept], np.ones(len(head), np.int64)))
+        columns, kinds = [*columns, columns[1].view(np.uint64) % ways.astype(np.uint64)], [*kinds, np.int32]
+    for k in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)].astype(t)) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def _enter(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -161,20 +174,39 @@ def _enter(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     yield from _settle(held, names)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, so that meeting them by doc_id moves less."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for part, texts in blocks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(press.compress, texts), pa.binary())], names=["doc_id", "text"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor()
+    for part, texts in blocks(batches, "text"):
+        yield part, [unpress.decompress(t) for t in texts]
+
+
 def _take_apart(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The single suffixes of the entries (bucket, lo, n lists) of each text."""
-    names = ["bucket", "later", "doc_id", "lo", "n"]
+    """The single suffixes of the entries (bucket, lo, n, alone, ways: lists) of each text."""
+    names = ["bucket", "later", "doc_id", "lo", "n", "salt"]
     held: list[list[np.ndarray]] = []
     rows = 0
-    for part, texts in blocks(batches, "text", _SEGMENT):
+    for part, texts in _unpacked(batches):
         ids = part.column(0).to_pylist()
-        buckets, los, ns = (part.column(part.schema.get_field_index(c)) for c in ("bucket", "lo", "n"))
+        buckets, los, ns, own, dealt = (part.column(part.schema.get_field_index(c)) for c in ("bucket", "lo", "n", "alone", "ways"))
         for k, text in enumerate(texts):
             lo, n = (np.asarray(c[k].values.to_numpy(zero_copy_only=False)).astype(np.int64) for c in (los, ns))
             bucket = buckets[k].values.to_numpy(zero_copy_only=False)
+            alone = own[k].values.to_numpy(zero_copy_only=False).astype(bool)
+            ways = dealt[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
             data = np.frombuffer(text, dtype=np.uint8)
             inside = lo + n + length - 1 <= len(data)
-            lo, n, bucket = lo[inside], n[inside], bucket[inside]
+            lo, n, bucket, alone, ways = lo[inside], n[inside], bucket[inside], alone[inside], ways[inside]
             for a in range(0, len(lo), 4096):
                 start, count = lo[a : a + 4096], n[a : a + 4096]
                 size = count + length - 1
@@ -184,7 +216,7 @@ def _take_apart(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
                 first = np.concatenate(([0], np.cumsum(count)))
                 inner = np.arange(first[-1]) - np.repeat(first[:-1], count)
                 later = _later(h, np.repeat(begin[:-1], count) + inner, length)
-                held.append([np.repeat(bucket[a : a + 4096], count), later.view(np.int64), np.full(len(later), ids[k], np.int64), np.repeat(start, count) + inner, np.ones(len(later), np.int64)])
+                held.append([np.repeat(bucket[a : a + 4096], count), later.view(np.int64), np.full(len(later), ids[k], np.int64), np.repeat(start, count) + inner, np.ones(len(later), np.int64), np.repeat(alone[a : a + 4096], count), np.repeat(ways[a : a + 4096], count)])
                 rows += len(later)
                 if rows >= _LOCAL_ROWS:
                     yield from _settle(held, names)
@@ -197,13 +229,13 @@ def _refined(rows: DataFrame) -> DataFrame:
     in_bucket = Window.partitionBy("bucket")
     ordered = Window.partitionBy("bucket", "later").orderBy("doc_id", "lo")
     first = F.first(F.struct("doc_id", "lo")).over(ordered)
-    marked = rows.withColumn("low", F.min("later").over(in_bucket)).withColumn("high", F.max("later").over(in_bucket)).withColumn("first", first)
+    marked = rows.withColumn("size", F.count("*").over(in_bucket)).withColumn("low", F.min("later").over(in_bucket)).withColumn("high", F.max("later").over(in_bucket)).withColumn("first", first)
     again = (F.col("n") < 0) | (F.struct("doc_id", "lo") > F.col("first"))
-    return marked.select("bucket", "doc_id", "lo", F.pmod(F.abs("n"), F.lit(_TWICE)).alias("n"), again.alias("again"), (~again & ((F.col("low") != F.col("high")) | (F.abs("n") > _TWICE))).alias("shared")).filter("again or shared")
+    return marked.select("bucket", "doc_id", "lo", F.when(F.col("n") < 0, -F.col("n")).otherwise(F.pmod("n", F.lit(_TWICE))).alias("n"), again.alias("again"), (~again & ((F.col("low") != F.col("high")) | (F.col("n") > _TWICE))).alias("shared"), (F.col("low") == F.col("high")).alias("alone"), (F.floor(F.col("size") / _BUCKET_ROWS) + 1).cast("int").alias("ways")).filter("again or shared")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in blocks(batches, "text", _SEGMENT):
+    for part, texts in _unpacked(batches):
         starts, stops = (part.column(part.schema.get_field_index(c)) for c in ("starts", "stops"))
         out: list[tuple[int, int, str, bytes]] = []
         for k, text in enumerate(texts):
@@ -229,12 +261,12 @@ def repeated_ranges(documents: DataFrame, length: int = 100) -> DataFrame:
     met = narrow.mapInArrow(functools.partial(_enter, length=length), _ENTRY).repartition("bucket")
     level = stage(_refined(met), "entries")
     whole = level.filter("again").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("stop"))
-    lists = level.filter("shared").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("bucket", "lo", "n")).alias("e"))
-    texts = narrow.join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("e.bucket").alias("bucket"), F.col("e.lo").alias("lo"), F.col("e.n").alias("n"))
-    singles = texts.mapInArrow(functools.partial(_take_apart, length=length), _ENTRY)
-    ordered = Window.partitionBy("bucket", "later").orderBy("doc_id", "lo")
+    lists = level.filter("shared").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("bucket", "lo", "n", "alone", "ways")).alias("e"))
+    texts = narrow.mapInArrow(_pack, "doc_id long, text binary").join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("e.bucket").alias("bucket"), F.col("e.lo").alias("lo"), F.col("e.n").alias("n"), F.col("e.alone").alias("alone"), F.col("e.ways").alias("ways"))
+    singles = texts.mapInArrow(functools.partial(_take_apart, length=length), _ENTRY + ", salt int").repartition("bucket", "salt")
+    ordered = Window.partitionBy("bucket", "salt", "later").orderBy("doc_id", "lo")
     marked = singles.withColumn("first", F.first(F.struct("doc_id", "lo")).over(ordered)).filter((F.col("n") < 0) | (F.struct("doc_id", "lo") > F.col("first")))
-    return whole.unionByName(marked.select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.lit(length)).alias("stop")))
+    return whole.unionByName(marked.select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.abs("n") + F.lit(length - 1)).alias("stop")))
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
@@ -244,7 +276,7 @@ def _narrow(documents: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) for each row of (doc_id, text)."""
     ranges = repeated_ranges(documents, length).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("r"))
-    texts = _narrow(documents).join(ranges, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"))
+    texts = _narrow(documents).mapInArrow(_pack, "doc_id long, text binary").join(ranges, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"))
     out = texts.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     doc_id = F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
