@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     met = both.join(least, "u")
     out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    return out.filter(F.col("u") != F.col("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(mark)
-        after = stage(_star(_star(now, True), False), "edges")
+        after = stage(_star(_star(now, True), False).distinct(), "edges")
         drop_staged(now)
         now = after

@@ -4,16 +4,16 @@ A document is the set of its word shingles. All shingles have one global order:
 first, then by hash. Of a set of n, any partner at the threshold shares ceil(t * n) shingles, so the first
 n - ceil(t * n) + l of both sides share at least l. Each document chooses its own l: the longer prefix costs more postings, but
 then more of them must be shared before a pair is verified; the choice weighs the estimated postings against the estimated
-verifications. Two documents are candidates if their prefixes share as many shingles as the smaller of their two l.
+verifications. Two documents are candidates if their prefixes share as many shingles as the smaller of their two l, and as
+their sizes demand (``_needed``).
 
 Estimates come from a count sketch over the shingles of all documents: a fixed table, summed in slices by the executors. It only
 orders and weighs; wrong estimates cost time, never a link.
 
 Only components are wanted, so not all pairs are formed. Texts with equal sets are one node. In each of a few rounds every
-posting list still spanning several components compares its members with one pivot, and what links becomes one component. What
-then remains is done exhaustively: pairs of different components that share enough of their prefixes, except those that the
-metric rules out (Jaccard distance obeys the triangle inequality, and both distances to the list's first pivot are known).
-So a group of thousands of near copies costs a few comparisons for each member.
+posting list still spanning several components compares its members with two pivots, and what links becomes one component. What
+then remains is done exhaustively: every pair of different components that shares as many of its rarest shingles as a link
+needs is verified. So a group of thousands of near copies costs a few comparisons for each member.
 
 Shingles are told apart by 64-bit hashes, sets by 128 bits and their size. Null or empty text, or one without a word: an empty
 set, linked with nothing. Fewer words than a shingle: the whole sequence is one. Rows that repeat a doc_id count as one node;
@@ -35,10 +35,22 @@ from maskwright.llm.components import components
 from maskwright.llm.textblocks import NOT_SPACE, Words, blocks, mix
 from maskwright.llm.workspace import drop_staged, stage
 
-SKETCH_BITS, _SLICES = 20, 64
+SKETCH_BITS, _SLICES = 21, 64
 _SIGNATURE = "doc_id long, n long, d1 long, d2 long, slice int, cells binary"
 _PREFIX = "doc_id long, n int, need int, prefix array<long>"
-_SET = "node long, n int, members binary"
+_TEXT = "node long, packed binary"
+
+
+def _press(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpress(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def shingle_sets(texts: list[bytes], length: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +86,13 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     names = ["doc_id", "n", "d1", "d2", "slice", "cells"]
-    for part, texts in blocks(batches, "text"):
+    for part, texts in blocks(batches, "text", 1 << 19):
         h, bounds = shingle_sets(texts, length)
         sketch += np.bincount(_cells(h), minlength=len(sketch))
         d1, d2 = (_sums(mix(h ^ np.uint64(salt)), bounds).view(np.int64) for salt in (0x0123456789ABCDEF, 0x7A3C19E5D2B48F60))
         k = len(texts)
         yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-    cells = [x.astype("<i8").tobytes() for x in np.split(sketch, _SLICES)]
+    cells = [_press(x.astype("<i8").tobytes()) for x in np.split(sketch, _SLICES)]
     yield pa.RecordBatch.from_arrays([*(pa.nulls(_SLICES, pa.int64()) for _ in range(4)), pa.array(range(_SLICES), pa.int32()), pa.array(cells, pa.binary())], names=names)
 
 
@@ -89,19 +101,19 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(x, dtype="<i8")
+            own = np.frombuffer(_unpress(x), dtype="<i8")
             totals[k] = totals[k] + own if k in totals else own
     if totals:
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["slice", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([_press(x.tobytes()) for x in totals.values()], pa.binary())], names=["slice", "cells"])
 
 
 def sketch_of(signed: DataFrame) -> np.ndarray:
-    """The summed sketch: a fixed 8 MB, whatever the input."""
+    """The summed sketch: a fixed 16 MB, whatever the input."""
     rows = signed.filter(F.col("slice").isNotNull()).select("slice", "cells").repartition(_SLICES, "slice").mapInArrow(_sum_cells, "slice int, cells binary").collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     width = len(out) // _SLICES
     for r in rows:
-        out[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["cells"], dtype="<i8")
+        out[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(_unpress(r["cells"]), dtype="<i8")
     return out
 
 
@@ -124,7 +136,7 @@ def choose_need(cost: np.ndarray, n: int, least: int, most: int) -> int:
 def _prefixes(batches: Iterator[pa.RecordBatch], length: int, percent: int, most: int, sketch: Broadcast) -> Iterator[pa.RecordBatch]:
     cells = sketch.value
     floor = int(np.median(cells))
-    for part, texts in blocks(batches, "text"):
+    for part, texts in blocks(batches, "text", 1 << 19):
         h, bounds = shingle_sets(texts, length)
         estimate = np.maximum(cells[_cells(h)] - floor, 1)
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -143,35 +155,66 @@ def _prefixes(batches: Iterator[pa.RecordBatch], length: int, percent: int, most
         yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), lists], names=["doc_id", "n", "need", "prefix"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for part, texts in blocks(batches, "text"):
-        h, bounds = shingle_sets(texts, length)
-        members = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(bounds), pa.int32()), pa.array(members, pa.binary())], names=["node", "n", "members"])
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in blocks(batches, "text", 1 << 19):
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(map(_press, texts), pa.binary())], names=["node", "packed"])
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}  # of the few texts just met: those of one node stand together
+
+    def members(node: int, packed: pa.BinaryScalar) -> np.ndarray:
+        if node not in held:
+            if len(held) >= 32:
+                held.pop(next(iter(held)))
+            held[node] = shingle_sets([_unpress(packed.as_buffer())], length)[0]
+        return held[node]
+
     for batch in batches:
-        left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("left_members", "right_members"))
-        common = np.zeros(batch.num_rows, dtype=np.int64)
-        for k in range(batch.num_rows):
-            x, y = (np.frombuffer(c[k].as_buffer(), dtype=np.uint64) for c in (left, right))
-            if len(x) > len(y):
-                x, y = y, x
-            if len(x):
-                spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common[k] = int((y[spot] == x).sum())
-        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "na", "nb")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(common)], names=["a", "b", "na", "nb", "common"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, distance, linked for distinct pairs (a, b)."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("members").alias("left_members"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("members").alias("right_members"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left_members", "right_members").mapInArrow(_common, "a long, b long, na int, nb int, common long")
+        left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("left_packed", "right_packed"))
+        a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b"))
+        rows = []
+        for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+            x, y = sorted((members(i, left[k]), members(j, right[k])), key=len)
+            spot = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+            rows.append((len(x), len(y), int((y[spot] == x).sum()) if len(x) else 0))
+        n, m, common = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """a, b, linked for distinct pairs (a, b); packed texts travel, which are smaller than their sets."""
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("left_packed"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("right_packed"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left_packed", "right_packed").mapInArrow(functools.partial(_common, length=length), "a long, b long, na long, nb long, common long")
     union = F.col("na") + F.col("nb") - F.col("common")
-    return met.groupBy("a", "b").agg(F.max(F.struct(100 * F.col("common") >= percent * union, (1 - F.col("common") / union))).alias("best")).select("a", "b", F.col("best.col2").alias("distance"), F.col("best.col1").alias("linked"))
+    return met.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
+
+
+def _whole(x: F.Column) -> F.Column:
+    return F.ceil(x - 1e-9)
+
+
+_PAIR = ("na", "nb", "need_a", "need_b")
+
+
+def _overlap(percent: int, na: str, nb: str) -> F.Column:
+    """The least number of common shingles that links sets of these sizes."""
+    return _whole(percent * (F.col(na) + F.col(nb)) / (100 + percent))
+
+
+def _prefix_rest(percent: int, na: str, nb: str, need_a: str, need_b: str) -> F.Column:
+    """The longer of the remainders that the prefixes of a and b leave."""
+    return F.greatest(*[_whole(percent * F.col(n) / 100) - F.col(need) for n, need in ((na, need_a), (nb, need_b))])
+
+
+def _needed(percent: int, names: tuple[str, str, str, str] = _PAIR) -> F.Column:
+    """Shared prefix shingles that a linked pair (sizes and needs of a and b) cannot do without.
+
+    Of the two prefixes take the one that ends first in the global order: a common shingle is in both prefixes or among the
+    shingles that follow this one, so what a link demands beyond the longer remainder must be in both.
+    """
+    return F.greatest(F.least(names[2], names[3]), _overlap(percent, *names[:2]) - _prefix_rest(percent, *names))
 
 
 def _with_root(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -190,33 +233,63 @@ def _in_range(n: str, m: str, percent: int) -> F.Column:
     return (100 * F.least(F.col(n), F.col(m))) >= (percent * F.greatest(F.col(n), F.col(m)))
 
 
-def _pivot_pairs(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    pivot = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"))).alias("p")).select("token", "p.*")
-    met = postings.join(pivot, "token").filter((F.col("comp") != F.col("pivot_comp")) & _in_range("n", "pivot_n", percent))
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+def _counted(met: DataFrame, least: F.Column) -> DataFrame:
+    """a, b of the pairs that share at least so many: rows (a, b, na, nb, need_a, need_b), one for each shared shingle."""
+    return met.groupBy(*_PAIR, "a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("a", "b").distinct()
+
+
+def _sides(swap: F.Column) -> list[F.Column]:
+    """The columns of a pair of postings (node, n, need; node2, n2, need2) as a, b, with the sides swapped where said."""
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    return [pick("node", "node2", "a"), pick("node2", "node", "b"), pick("n", "n2", "na"), pick("n2", "n", "nb"), pick("need", "need2", "need_a"), pick("need2", "need", "need_b")]
 
 
-def _rest_pairs(postings: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components with enough shared prefix shingles, except those too far apart seen from the first pivot.
+def _pivot_pairs(postings: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a list's member with one of two pivots of another component, if the lists they share let them hope.
+
+    Pivots are drawn by hash; but the first of all is the member with the fewest prefix shingles of its own (``alone``), of
+    several the largest: what near copies were made from has none, while each copy has those of its changes.
 
-    Members of a list meet by a cell of their distance to the list's first pivot: partners at the threshold lie in the same or
-    the neighbouring cell. A member whose distance is unknown (its size already ruled out the pivot) meets every cell.
+    A pair meets its pivot only in the lists that drew it, so half the shingles it needs are enough here; nothing is lost for
+    good, as what stays apart is looked at again by ``_rest_pairs``.
+    """
+    draw = F.xxhash64(F.lit(turn), "node")
+    drawn = lambda *first: F.struct(*[x.alias(f"first{i}") for i, x in enumerate(first)], draw.alias("draw"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("need").alias("need2"))
+    first = [-F.col("alone"), F.col("n")] if turn == 0 else [F.lit(0), F.lit(0)]
+    pivots = postings.groupBy("token").agg(F.max(drawn(*first)).alias("p"), F.min(drawn(F.lit(0), F.lit(0))).alias("q"))
+    columns = ["node2", "comp2", "n2", "need2"]
+    pivots = pivots.select("token", F.inline(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in columns]) for x in ("p", "q")])))
+    met = postings.join(pivots, "token").filter((F.col("comp") != F.col("comp2")) & _in_range("n", "n2", percent))
+    return _counted(met.select(*_sides(F.col("node") > F.col("node2"))), 0.5 * _needed(percent))
+
+
+def _rest_pairs(postings: DataFrame, percent: int, most: int) -> DataFrame:
+    """All pairs of different components that can be linked at all.
+
+    Of a list's members only those outside its largest component are compared with the others: any pair of two components has
+    one. A pair that must overlap in o shingles shares at least l of the first n - o + l of one and the first m - o + l of the
+    other, so a posting counts only where it stands that early on both sides, and the frequent end of every prefix takes no
+    part. Nor do pairs of which one has fewer than l open postings that early (``firsts``: places of its first ones), or fewer
+    open postings in all (``k``) than a link with the other needs of its prefix.
     """
-    reach = 1 - percent / 100
-    pivot = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(0), "node").alias("draw"), F.col("first").alias("pivot"))).alias("p")).select("token", F.col("p.pivot").alias("pivot"))
-    near = tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance").unionByName(tested.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "distance")).distinct()
-    known = postings.join(pivot, "token").join(near, ["pivot", "node"], "left").withColumn("d", F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("distance")))
-    last = int(1 / reach) + 1
-    cell = F.floor(F.col("d") / reach).cast("int")
-    here = known.select("token", "node", "comp", "n", "need", "d", F.explode(F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.array(cell))).alias("cell"))
-    there = known.select("token", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("need").alias("need2"), F.col("d").alias("d2"), F.explode(F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.array(cell - 1, cell, cell + 1))).alias("cell"))
-    close = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= reach + 1e-9, F.lit(True))
-    met = here.join(there, ["token", "cell"]).filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _in_range("n", "n2", percent) & close)
-    once = met.groupBy(F.col("node").alias("a"), F.col("node2").alias("b"), "token").agg(F.min(F.least("need", "need2")).alias("need"))
-    return once.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
-
-
-def join_components(documents: DataFrame, length: int = 5, percent: int = 75, most_need: int = 4, rounds: int = 4) -> DataFrame:
+    firsts = F.slice(F.array_sort(F.collect_list("pos")), 1, most)
+    open_ = postings.groupBy(F.col("node").alias("k_node")).agg(F.count("*").alias("k"), firsts.alias("firsts"))
+    sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
+    known = postings.join(open_, F.col("node") == F.col("k_node")).join(largest, "token").withColumn("inside", F.col("comp") == F.col("largest"))
+    columns = ["node", "comp", "n", "need", "pos", "k", "firsts"]
+    here = known.filter(~F.col("inside")).select("token", *columns)
+    there = known.select("token", *[F.col(c).alias(f"{c}2") for c in columns], "inside")
+    names = ("n", "n2", "need", "need2")
+    both, o = F.least("need", "need2"), _overlap(percent, "n", "n2")
+    early = (F.col("pos") < F.col("n") - o + both) & (F.col("pos2") < F.col("n2") - o + both)
+    able = (F.get("firsts", both - 1) < F.col("n") - o + both) & (F.get("firsts2", both - 1) < F.col("n2") - o + both)
+    once = F.col("inside") | (F.col("node") < F.col("node2"))
+    met = here.join(there, "token").filter((F.col("comp") != F.col("comp2")) & _in_range("n", "n2", percent) & once & early & able & (F.least("k", "k2") >= _needed(percent, names)))
+    return _counted(met.select(*_sides(F.col("node") > F.col("node2"))), F.least("need_a", "need_b"))
+
+
+def join_components(documents: DataFrame, length: int = 5, percent: int = 75, most_need: int = 2, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of (doc_id, text)."""
     spark = documents.sparkSession
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -226,43 +299,34 @@ def join_components(documents: DataFrame, length: int = 5, percent: int = 75, mo
     sketch = spark.sparkContext.broadcast(sketch_of(signed))
     prefixes = narrow.mapInArrow(functools.partial(_prefixes, length=length, percent=percent, most=most_need, sketch=sketch), _PREFIX)
     nodes = classes.select("node").distinct()
-    listed = prefixes.filter("n > 0").join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "need", F.explode("prefix").alias("token"))
-    sizes = listed.groupBy("token", "node").agg(F.max("n").alias("n"), F.min("need").alias("need"))
-    several = stage(_shared_only(sizes), "postings")
-    wanted = several.select("node").distinct()
-    texts = narrow.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = stage(texts.mapInArrow(functools.partial(_sets, length=length), _SET), "sets")
-    links: DataFrame | None = None
+    own = prefixes.filter("n > 0").join(nodes, F.col("doc_id") == F.col("node"), "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n", "need", "prefix")])
+    listed = own.select(F.col("doc_id").alias("node"), "n", "need", F.posexplode("prefix").alias("pos", "token"))
+    found = stage(_shared_only(listed), "postings")
+    shared = found.groupBy(F.col("node").alias("k_node")).agg(F.count("*").alias("shared"))
+    alone = F.col("n") - _whole(percent * F.col("n") / 100) + F.col("need") - F.col("shared")
+    several = stage(found.join(shared, F.col("node") == F.col("k_node")).withColumn("alone", alone).drop("k_node", "shared"), "postings")
+    drop_staged(found)
+    wanted = several.select(F.col("node").alias("w")).distinct()
+    packed = narrow.filter(F.col("doc_id").isNotNull()).mapInArrow(_pack_texts, _TEXT)
+    texts = stage(packed.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "texts")
     roots: DataFrame | None = None
-    tested: DataFrame | None = None
     open_lists = several.withColumn("comp", F.col("node"))
     for turn in range(rounds + 1):
-        if turn < rounds:
-            pairs = _pivot_pairs(open_lists, turn, percent)
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        else:
-            pairs = _rest_pairs(open_lists, tested, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        judged = stage(_verify(pairs, sets, percent), "pairs")
-        tested = judged if tested is None else tested.unionByName(judged)
-        new = judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(links)
-        if turn < rounds:
-            before = open_lists
-            open_lists = stage(_open_lists(_with_root(before.drop("comp"), roots)), "open-lists")
-            drop_staged(before)
-            if open_lists.isEmpty():
-                break
+        pairs = _pivot_pairs(open_lists, turn, percent) if turn < rounds else _rest_pairs(open_lists, percent, most_need)
+        new = stage(_verify(pairs, texts, length, percent).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        if not new.isEmpty():
+            roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            if turn < rounds:
+                before = open_lists
+                open_lists = stage(_open_lists(_with_root(before.drop("comp"), roots)), "open-lists")
+                drop_staged(before)
     rooted = _with_root(classes, roots).select("n", "d1", "d2", "comp")
     met = rows.join(rooted.groupBy("n", "d1", "d2").agg(F.min("comp").alias("comp")), ["n", "d1", "d2"], "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def _shared_only(postings: DataFrame) -> DataFrame:
-    """Postings of the shingles that several nodes have in their prefixes, with each list's first pivot."""
+    """Postings of the shingles that several nodes have in their prefixes."""
     from pyspark.sql import Window
 
-    whole = Window.partitionBy("token")
-    pivot = F.min(F.struct(F.xxhash64(F.lit(0), "node").alias("draw"), F.col("node").alias("node"))).over(whole)
-    return postings.withColumn("size", F.count("*").over(whole)).filter("size > 1").withColumn("first", pivot["node"]).drop("size")
+    return postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1").drop("size")
