@@ -161,12 +161,14 @@ class WordBpe:
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
         known = self.known
         if len(known) > self.cache_words:
             known.clear()
-        new = list(set().union(*split) - known.keys())
+        # the tokenizer lower-cases anyway; a text that may hold a special token keeps its case, which tells the token
+        split = [(t.lower() if self.plain and b"<|" not in t else t).split() for t in texts]
+        rows = [list(map(known.get, x)) for x in split]
+        new = {w for x, r in zip(split, rows, strict=True) for w, i in zip(x, r, strict=True) if i is None}
         if new:
-            self.encode_chunks(new)
-        get = known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+            self.encode_chunks(list(new))
+            rows = [[known[w] if i is None else i for w, i in zip(x, r, strict=True)] for x, r in zip(split, rows, strict=True)]
+        return [b"".join(r) for r in rows]
