@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.components import components
@@ -225,8 +225,9 @@ def _with_root(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def _open_lists(postings: DataFrame) -> DataFrame:
     """The postings of the lists that span several components."""
-    spans = postings.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    return postings.join(spans, "token", "left_semi")
+    whole = Window.partitionBy("token")
+    spans = postings.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole))
+    return spans.filter("low < high").drop("low", "high")
 
 
 def _in_range(n: str, m: str, percent: int) -> F.Column:
@@ -327,6 +328,4 @@ def join_components(documents: DataFrame, length: int = 5, percent: int = 75, mo
 
 def _shared_only(postings: DataFrame) -> DataFrame:
     """Postings of the shingles that several nodes have in their prefixes."""
-    from pyspark.sql import Window
-
     return postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1").drop("size")
