@@ -64,7 +64,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 @functools.cache
 def _encoder(tokenizer_path: str) -> WordBpe:
-    """One for each worker process: what one task has met, the next need not encode again."""
+    """One for each worker process, as its tables take a while to make; the words met are forgotten after each task."""
     return WordBpe(tokenizer_path)
 
 
@@ -103,6 +103,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity
         if len(items) >= _LOCAL_ITEMS:
             yield from _rows(_joined(items, capacity))
             items = []
+    encoder.known.clear()  # the worker goes on to other stages, which need the memory
     yield from _rows(_joined(items, capacity))
 
 
