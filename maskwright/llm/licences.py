@@ -5,7 +5,8 @@ become identifiers; the order of identifiers is matched against licence rules, l
 used up. So a licence is told from another that shares sentences with it by which sentences stand together.
 
 Plan, DataFrame functions only: one regular expression decides which texts can hold a licence sentence at all (every known
-sentence has one of its words); only those are cut into sentences. Identifiers come from an equi-join with the dictionary,
+sentence has one of its words); only those are cut into sentences. A known sentence that holds a cut itself is met as a run of
+as many parts. Identifiers come from an equi-join with the dictionary,
 which is broadcast when counted to be small. Rows are numbered, so repeated rows stay apart; only identifiers are shuffled,
 never texts. A line that stands in a third of all documents is a dictionary hit in the scan and meets nobody.
 
@@ -79,6 +80,8 @@ RULES = [
 ]
 #: Every known sentence has one of these words.
 _HINTS = ("licen", "rights", "permission", "copyright", "redistribut", "public domain", "express", "required by")
+#: Where a sentence ends, in a text and in the dictionary alike.
+_STOP = r"(?<=[.!?;:])[\"')\]]*\s+"
 
 
 def normalise(sentence: str) -> str:
@@ -93,6 +96,11 @@ def _hint() -> str:
     return "(?i)" + "|".join(h.replace(" ", "[^a-z0-9]+") for h in (*_HINTS, "warranty"))
 
 
+def parts_of(sentence: str) -> int:
+    """The number of parts into which a text's sentences are cut where this one stands."""
+    return sum(1 for x in re.split(_STOP, sentence) if normalise(x))
+
+
 def dictionary(spark: SparkSession, sentences: dict[str, list[str]] | None = None) -> DataFrame:
     """sentence (normalised), identifier."""
     return spark.createDataFrame(sorted({(normalise(x), k) for k, xs in (sentences or SENTENCES).items() for x in xs}), "sentence string, identifier string")
@@ -102,24 +110,35 @@ def _normal(part: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))
 
 
-def _sentences(text: Column) -> Column:
+def _runs(cut: Column, most: int) -> Column:
+    """Of the parts of a text, in order, every run of one to ``most`` of them as one normalised string: a known sentence may
+    hold a sign that cuts ('free software: you', 'v. 2.0')."""
+    parts = F.filter(F.transform(cut, _normal), lambda x: x != "")
+    at = lambda own, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(own) - i)), lambda n: F.array_join(F.slice(own, i + 1, n), " "))
+    # bound as a variable, or the parts would be cut again for each of them
+    return F.flatten(F.flatten(F.transform(F.array(parts), lambda own: F.transform(own, lambda _, i: at(own, i)))))
+
+
+def _placed(runs: Column) -> Column:
+    return F.transform(runs, lambda x, i: F.struct(i.cast("long").alias("at"), x.alias("sentence")))
+
+
+def _sentences(text: Column, most: int) -> Column:
     """Sentences as (at, sentence), in order. A sentence ends with its sign before white space, or with a blank line; a line
     that is a sentence by itself counts too, so a notice without a full stop is found. Where a line is also a sentence of the
     running text, both have the same place and become one."""
-    end = r"(?<=[.!?;:])[\"')\]]*\s+|\n[ \t\r]*\n"
-    running = F.split(F.regexp_replace(text, r"(?<![\n])\n(?![ \t\r]*\n)[ \t]*(?:[#*/;%-]+[ \t]+)?", " "), end, -1)
-    return F.transform(running, lambda x, i: F.struct(i.cast("long").alias("at"), _normal(x).alias("sentence")))
+    running = F.split(F.regexp_replace(text, r"(?<![\n])\n(?![ \t\r]*\n)[ \t]*(?:[#*/;%-]+[ \t]+)?", " "), _STOP + r"|\n[ \t\r]*\n", -1)
+    return _placed(_runs(running, most))
 
 
-def _lines(text: Column) -> Column:
-    cut = F.split(text, r"\n", -1)
-    return F.transform(F.flatten(F.transform(cut, lambda x: F.split(x, r"(?<=[.!?;:])[\"')\]]*\s+", -1))), lambda x, i: F.struct(i.cast("long").alias("at"), _normal(x).alias("sentence")))
+def _lines(text: Column, most: int) -> Column:
+    return _placed(F.flatten(F.transform(F.split(text, r"\n", -1), lambda x: _runs(F.split(x, _STOP, -1), most))))
 
 
-def sentence_hits(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """row, way ('text': sentences across line ends, 'line': within lines), at, identifier."""
+def sentence_hits(documents: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """row, way ('text': sentences across line ends, 'line': within lines), at, identifier; known sentences have up to ``most`` parts."""
     words, _ = bounded_broadcast(known, 200_000)
-    cut = documents.filter(F.col("text").rlike(_hint())).select("row", F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("line")), F.array(_sentences(F.col("text")), _lines(F.col("text"))))).alias("way", "all"))
+    cut = documents.filter(F.col("text").rlike(_hint())).select("row", F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("line")), F.array(_sentences(F.col("text"), most), _lines(F.col("text"), most)))).alias("way", "all"))
     return cut.select("row", "way", F.inline("all")).join(words, "sentence").select("row", "way", "at", "identifier")
 
 
@@ -142,7 +161,8 @@ def scan(documents: DataFrame, sentences: dict[str, list[str]] | None = None, ru
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
-    hits = stage(sentence_hits(rows, dictionary(spark, sentences)), "licence-sentences")
+    most = max((parts_of(x) for xs in (sentences or SENTENCES).values() for x in xs), default=1)
+    hits = stage(sentence_hits(rows, dictionary(spark, sentences), most), "licence-sentences")
     order = lambda way: F.transform(F.array_sort(F.collect_list(F.when(F.col("way") == way, F.struct("at", "identifier")))), lambda x: x["identifier"])
     found = hits.groupBy("row").agg(order("text").alias("running"), order("line").alias("lines"))
     every = found.select("row", F.concat("running", F.filter("lines", lambda x: ~F.array_contains(F.col("running"), x))).alias("identifiers"))

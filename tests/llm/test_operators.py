@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -248,6 +249,17 @@ def test_warc(spark):
     assert [r["payload"] for r in one] == [b"y" * 5000]
 
 
+def test_every_licence_sentence_and_rule(spark):
+    known = [(k, x) for k, xs in licences.SENTENCES.items() for x in xs]
+    wrapped = lambda x: "x.\n\n" + textwrap.fill(x, 60, initial_indent=" * ", subsequent_indent=" * ") + "\n\ny"
+    rules = [(name, " ".join(licences.SENTENCES[k][0] for k in seq)) for name, seq in licences.RULES]
+    texts = [x for _, x in known] + [wrapped(x) for _, x in known] + [x for _, x in rules] + ["See v. 2.0. Then 2.0. This program is free software: good."]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["identifiers"] for i in range(2 * len(known))] == [[k] for k, _ in known] * 2
+    assert [got[2 * len(known) + i]["licences"] for i in range(len(rules))] == [[name] for name, _ in rules]
+    assert got[len(texts) - 1]["identifiers"] == []
+
+
 def test_licences(spark):
     s = licences.SENTENCES
     texts = ["hello\nReleased under the MIT License.\nfoo", "x.\n" + " ".join(s[k][0] for k in ("MITGrant", "MITNotice", "MITWarranty")).replace(" software ", "\n software ") + " y", None, "", "\n".join(s[k][0] for k in ("BSDGrant", "BSDSource", "BSDBinary")) + " All rights reserved.", "MIT licensed? no", "Licensed under CC BY-NC 4.0. All rights reserved."]
