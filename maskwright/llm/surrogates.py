@@ -10,7 +10,9 @@ without a given name stays one person's.
 
 Collision checks: a candidate that equals another entity's candidate (the smaller value keeps it) or a value that occurs in
 the corpus is drawn again with the next attempt, until none is left; so distinct entities keep distinct surrogates, no
-surrogate is a real value, and equal entities stay equal across all documents.
+surrogate is a real value, and equal entities stay equal across all documents. A format may have fewer strings than the corpus
+has entities of it (two syllables of a Han name): after some attempts each further one makes the surrogate longer by a
+character, a name's words by two, so there are soon more strings than entities, however many they are.
 
 Plan, DataFrame functions only: a document without an entity goes straight from scan to result. Of the others, the entities
 (not the texts) meet the mapping by value, hot values being replicated with a salt, and go back by (doc_id, digest of the
@@ -69,6 +71,9 @@ _SCRIPTS = {
     "han": (r"\p{IsHan}", "山川田中村松林森", "一本上下野原島井", "男", "子", "美"),
 }
 
+#: Names are drawn so many times before they become longer.
+_NAME_ATTEMPTS = 8
+
 
 def type_of(found: Column) -> Column:
     """The type of a detected string: that of the first pattern it matches whole, without the look at its neighbours."""
@@ -89,23 +94,27 @@ def _byte(stream: Column, k: Column) -> Column:
     return F.conv(F.substring(stream, 2 * k + 1, 2) if isinstance(k, int) else F.substr(stream, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _pick(letters: str, n: Column) -> Column:
-    return F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
+def _pick(letters: str | Column, n: Column) -> Column:
+    if isinstance(letters, str):
+        return F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
+    return F.transform(F.array(letters), lambda x: F.substr(x, F.pmod(n, F.length(x)) + 1, F.lit(1)))[0]
 
 
-def _like(value: Column, stream: Column, kept: Column, hexadecimal: bool = False) -> Column:
-    """Each character after the first ``kept`` replaced by another of its class; others stay."""
-    chars = F.split(value, "")
+def _like(value: Column, stream: Column, kept: Column, hexadecimal: Column, bare: Column) -> Column:
+    """Each character after the first ``kept`` replaced by another of its class, a letter of another script by one of its
+    script, if that is known; others stay. In a ``bare`` value, without letter and digit, signs but "@" become letters.
+    All arguments are plain columns: what is computed would be computed again for each character."""
 
     def one(c: Column, i: Column) -> Column:
         n = _byte(stream, i)
-        digit, lower, upper = c.between("0", "9"), c.between("a", "z"), c.between("A", "Z")
-        if hexadecimal:
-            return F.when(digit | c.between("a", "f"), _pick("0123456789abcdef", n)).otherwise(c)
-        first = (i == kept) & (c != "0")
-        return F.when(i < kept, c).when(digit & first, _pick("123456789", n)).when(digit, _pick("0123456789", n)).when(lower, _pick("abcdefghijklmnopqrstuvwxyz", n)).when(upper, _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c)
+        letters = F.when(c.between("0", "9"), F.when(hexadecimal, F.lit("0123456789abcdef")).when((i == kept) & (c != "0"), F.lit("123456789")).otherwise(F.lit("0123456789")))
+        letters = letters.when(hexadecimal, F.when(c.between("a", "f"), F.lit("0123456789abcdef"))).when(c.between("a", "z") | (bare & (c != "@")), F.lit("abcdefghijklmnopqrstuvwxyz")).when(c.between("A", "Z"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c <= "\x7f", F.lit(None))
+        for pattern, opens, vowels, *_ in _SCRIPTS.values():
+            letters = letters.when(c.rlike(pattern), F.lit(opens + vowels))
+        letters = letters.when(c.rlike(r"\p{N}"), F.lit("0123456789")).when(c.rlike(r"[\p{L}\p{M}]"), F.lit("abcdefghijklmnopqrstuvwxyz"))
+        return F.when(i < kept, c).otherwise(F.coalesce(_pick(letters, n), c))
 
-    return F.array_join(F.transform(chars, one), "")
+    return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -115,8 +124,7 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, x: a + x)
 
 
-def _card(value: Column, stream: Column) -> Column:
-    drawn = _like(value, stream, F.lit(0))
+def _card(value: Column, drawn: Column) -> Column:
     valid = F.pmod(_luhn(F.regexp_replace(value, "[^0-9]", "")), F.lit(10)) == 0
     head = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
     rest = F.pmod(_luhn(F.concat(F.regexp_replace(head, "[^0-9]", ""), F.lit("0"))), F.lit(10))
@@ -127,41 +135,51 @@ def _ipv4(stream: Column) -> Column:
     return F.concat_ws(".", *[(1 + F.pmod(_byte(stream, F.lit(k)), F.lit(254))).cast("string") for k in range(4)])
 
 
-def _name_word(word: Column, gender: Column, given: Column, key: Column) -> Column:
+def _name_word(word: Column, gender: Column, given: Column, key: Column, extra: Column) -> Column:
     stream = F.sha2(F.concat_ws("|", key, F.lit("name"), F.lower(word)), 256)
     at = lambda k: _byte(stream, F.lit(k))
-    latin = F.concat(*[x for k in (0, 2, 4) for x in (_pick(_CONSONANTS, at(k)), _pick(_VOWELS, at(k + 1)))])
-    ending = F.when(~given, _pick("nrst", at(6))).when(gender == "female", F.lit("la")).when(gender == "male", F.lit("lo")).otherwise(F.lit("li"))
-    out = F.initcap(F.concat(latin, ending))
+    more = _stream(F.concat_ws("|", key, F.lit("more"), F.lower(word)), 2 * extra)
+    body = F.concat(*[x for k in (0, 2, 4) for x in (_pick(_CONSONANTS, at(k)), _pick(_VOWELS, at(k + 1)))])
+    tail = F.when(~given, _pick("nrst", at(6))).when(gender == "female", F.lit("la")).when(gender == "male", F.lit("lo")).otherwise(F.lit("li"))
+    first, second = F.lit(_CONSONANTS), F.lit(_VOWELS)
     for pattern, opens, vowels, male, female, other in _SCRIPTS.values():
-        tail = F.when(~given, F.lit("")).when(gender == "male", F.lit(male)).when(gender == "female", F.lit(female)).otherwise(F.lit(other))
+        here = word.rlike("^" + pattern)
         alphabetic = pattern in (r"\p{IsCyrillic}", r"\p{IsGreek}")
-        body = F.concat(*[x for k in ((0, 2, 4) if alphabetic else (0,)) for x in (_pick(opens, at(k)), _pick(vowels, at(k + 1)))])
-        out = F.when(word.rlike("^" + pattern), F.initcap(F.concat(body, tail))).otherwise(out)
-    return out
+        body = F.when(here, F.concat(*[x for k in ((0, 2, 4) if alphabetic else (0,)) for x in (_pick(opens, at(k)), _pick(vowels, at(k + 1)))])).otherwise(body)
+        tail = F.when(here, F.when(~given, F.lit("")).when(gender == "male", F.lit(male)).when(gender == "female", F.lit(female)).otherwise(F.lit(other))).otherwise(tail)
+        first, second = F.when(here, F.lit(opens)).otherwise(first), F.when(here, F.lit(vowels)).otherwise(second)
+    syllables = F.transform(F.array(F.struct(more.alias("more"), first.alias("first"), second.alias("second"))), lambda x: F.array_join(F.transform(F.sequence(F.lit(1), extra), lambda k: F.concat(_pick(x["first"], _byte(x["more"], 2 * k - 2)), _pick(x["second"], _byte(x["more"], 2 * k - 1)))), ""))[0]
+    return F.initcap(F.concat(body, F.when(extra > 0, syllables).otherwise(""), tail))
 
 
-def _person(value: Column, key: Column, attempt: Column) -> Column:
+def _person(value: Column, key: Column, attempt: Column, extra: Column) -> Column:
     title = F.regexp_extract(value, rf"^(?:{_TITLES})\.?[  ]", 0)
     bare = F.regexp_replace(title, r"[.  ]", "")
     gender = F.when(bare.isin(*MALE_TITLES), "male").when(bare.isin(*FEMALE_TITLES), "female").otherwise("other")
     words = F.split(F.substr(value, F.length(title) + 1, F.length(value)), " ")
     salted = F.when(attempt == 0, key).otherwise(F.concat_ws("|", key, attempt.cast("string")))
-    return F.concat(title, F.array_join(F.transform(words, lambda w, i: _name_word(w, gender, i < F.size(words) - 1, salted)), " "))
+    return F.concat(title, F.array_join(F.transform(words, lambda w, i: _name_word(w, gender, i < F.size(words) - 1, salted, extra)), " "))
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The candidate for an entity; a function of its arguments alone."""
-    keyed = F.lit(key)
-    stream = _stream(F.concat_ws("|", keyed, kind, value, attempt.cast("string")), F.length(value))
+def candidates(entities: DataFrame, key: str, most_attempts: int) -> DataFrame:
+    """value, kind, attempt of entities and the candidate (surrogate): a function of these and the key alone. From
+    ``most_attempts`` on (names, whose formats are small: at most _NAME_ATTEMPTS) it is longer with each attempt."""
+    keyed, kind, value = F.lit(key), F.col("kind"), F.col("value")
+    own_length = F.when(kind == "PERSON", min(_NAME_ATTEMPTS, most_attempts)).otherwise(most_attempts)
+    extra = F.col("extra")
+    more = lambda c: F.repeat(F.lit(c), extra)
     prefix = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[^0-9])|^(?i:password|passwd|pwd)(?-i)\s?[=:]\s?|^AKIA|^gh[pousr]_|^xox[baprs]-|^sk-", 0))
-    domain = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
-    email = F.concat(_like(F.substr(value, F.lit(1), F.length(value) - F.length(domain)), stream, F.lit(0)), domain)
-    iban = _like(value, stream, F.lit(2))
-    return (
-        F.when(kind == "PERSON", _person(value, keyed, attempt)).when(kind == "EMAIL", email).when(kind == "IPV4", _ipv4(stream)).when(kind == "CARD", _card(value, stream))
-        .when(kind == "TOKEN", _like(value, stream, F.lit(0), True)).when(kind == "IBAN", iban).otherwise(_like(value, stream, prefix))
-    )
+    domain = F.when(kind == "EMAIL", F.regexp_extract(value, r"\.[A-Za-z]+$", 0)).otherwise("")
+    shape = F.when(kind == "EMAIL", F.concat(more("a"), F.substr(value, F.lit(1), F.length(value) - F.length("domain")))).when(kind == "IPV4", more("0")).when(kind.isin("PASSWORD", "SECRET"), F.concat(value, more("a"))).otherwise(F.concat(value, more("0")))
+    kept = F.when(kind.isin("EMAIL", "CARD", "TOKEN", "IPV4"), 0).when(kind == "IBAN", 2).otherwise(prefix)
+    # each step in columns of its own: inlined, the tree would double at every use
+    rows = entities.select("value", "kind", "attempt", F.greatest(F.lit(0), F.col("attempt") - own_length + 1).alias("extra"), domain.alias("domain"))
+    rows = rows.select("*", shape.alias("shape"), kept.alias("kept"), _stream(F.concat_ws("|", keyed, kind, value, F.col("attempt").cast("string")), F.length(value) + extra).alias("stream"))
+    rows = rows.select("*", (~F.substr("shape", F.col("kept") + 1, F.length("shape")).rlike(r"[\p{L}\p{M}\p{N}]")).alias("bare"), (kind == "TOKEN").alias("hexadecimal"), F.when(kind == "IPV4", F.substring("stream", 9, 2**30)).otherwise(F.col("stream")).alias("signs"))
+    rows = rows.select("*", F.when(kind != "PERSON", _like(F.col("shape"), F.col("signs"), F.col("kept"), F.col("hexadecimal"), F.col("bare"))).alias("like"))
+    ipv4 = F.concat(_ipv4(F.col("stream")), F.when(extra > 0, F.concat(F.lit("."), F.col("like"))).otherwise(""))
+    drawn = F.when(kind == "PERSON", _person(value, keyed, F.col("attempt"), extra)).when(kind == "IPV4", ipv4).when(kind == "CARD", _card(value, F.col("like"))).otherwise(F.concat("like", "domain"))
+    return rows.select("value", "kind", "attempt", drawn.alias("surrogate"))
 
 
 def _detected(documents: DataFrame) -> DataFrame:
@@ -175,12 +193,13 @@ def entity_table(places: DataFrame) -> DataFrame:
 
 
 def surrogate_table(entities: DataFrame, key: str, most_attempts: int = 64) -> DataFrame:
-    """value, kind, surrogate for distinct entities (value, kind): surrogates differ from each other and from every value."""
+    """value, kind, surrogate for distinct entities (value, kind): surrogates differ from each other and from every value.
+    Each round settles those without a clash; as candidates become longer, there are free ones for all (see ``candidates``)."""
     open_rows = entities.select("value", "kind").withColumn("attempt", F.lit(0))
     real = entities.select(F.col("value").alias("surrogate"))
     settled: DataFrame | None = None
-    for _ in range(most_attempts):
-        drawn = open_rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt")))
+    while True:
+        drawn = stage(candidates(open_rows, key, most_attempts), "candidates")
         if settled is not None:
             real_or_taken = real.unionByName(settled.select("surrogate"))
         else:
@@ -193,7 +212,6 @@ def surrogate_table(entities: DataFrame, key: str, most_attempts: int = 64) -> D
         open_rows = judged.filter(~F.col("ok")).select("value", "kind", (F.col("attempt") + 1).alias("attempt"))
         if open_rows.isEmpty():
             return settled
-    raise ValueError("a format has hardly more strings than the corpus has entities of it; no distinct surrogates found")
 
 
 def pseudonymise(documents: DataFrame, key: str, salts: int = 16, hot_from: int = 1_000) -> tuple[DataFrame, DataFrame]:

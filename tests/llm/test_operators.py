@@ -312,6 +312,23 @@ def test_surrogate_collisions(spark, monkeypatch):
     assert len(got) == 90 and len({r["surrogate"] for r in got}) == 90
 
 
+def test_surrogates_of_small_formats(spark):
+    """More entities than their format has strings, and values without an ASCII letter or digit: all get surrogates."""
+    han, kana = "佐藤鈴木高橋伊渡辺", "ヤユヨラリルレロワン"
+    names = [a + b for a in han for b in han if a != b][:70] + [a + b for a in kana for b in kana][:70] + ["박" + chr(0xAC00 + 28 * k) for k in range(80)]
+    odd = ["password=______", "Password: ........", "password=пароль", "pwd:密碼密碼密碼", "---@---.com", "-@-.com", "password=😀😀😀😀😀😀", "password=🙁🙁🙁🙁🙁🙁"]
+    text = lambda v: v if "=" in v or ":" in v or "@" in v else v + ("씨" if v[0] == "박" else "さん")
+    rows = spark.createDataFrame([(i, text(v)) for i, v in enumerate(names + odd)], "doc_id long, text string")
+    out, mapping = surrogates.pseudonymise(rows, "k")
+    table = {r["value"]: r["surrogate"] for r in mapping.collect()}
+    assert set(table) == set(names + odd) and len(set(table.values())) == len(table) and not set(table) & set(table.values())
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: text(v).replace(v, table[v]) for i, v in enumerate(names + odd)}
+    assert re.fullmatch(r"[a-z]{3}@[a-z]{3}\.com", table["---@---.com"]) and not set("пароль") <= set(table["password=пароль"])
+    few = spark.createDataFrame([(f"7{k}.{j}.0.1", "IPV4") for k in range(3) for j in range(3)] + [("password=" + x + "_____", "PASSWORD") for x in "0123456789"], "value string, kind string")
+    got = surrogates.surrogate_table(few, "k", 2).collect()
+    assert len(got) == 19 and len({r["surrogate"] for r in got} - {r["value"] for r in got}) == 19
+
+
 def test_url_rules(spark):
     urls = ["http://A.com/x", "http://a.com", "http://example.com/en/1", "http://www.example.com/en/1?x=/es/", "http://x.www.example.com/en/", "https://b.net/es/1#f", "https://b.net/de/1", None, "no scheme", "http://notexample.com/en/", "ftp://c.net/fr/?q"]
     pages = spark.createDataFrame([(i, u, None if i % 2 else "", "h") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
