@@ -17,6 +17,8 @@ alike, one result row per row. Empty table: empty result.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,19 +59,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(F.col("to")).alias("dst")).filter((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4, stage_every: int = 4) -> DataFrame:
-    """host, mass: personalised PageRank from ``seeds`` (host, seed; summing to 1). Mass that has no edge to follow ends there."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-5, stage_every: int = 4) -> DataFrame:
+    """host, mass: personalised PageRank from ``seeds`` (host, seed; summing to 1). Mass that has no edge to follow ends there.
+    Ends when no host's mass changes by more than ``tolerance`` times the largest seed, however many seeds there are; all
+    changes together shrink by ``damping`` a round, so it ends without a limit of ``rounds``."""
     total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     steps = stage(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "links")
     mass = stage(seeds.select("host", F.col("seed").alias("mass")), "mass")
     base = mass.select("host", ((1 - damping) * F.col("mass")).alias("part"))
-    for k in range(rounds):
+    least = tolerance * (mass.agg(F.max("mass")).first()[0] or 0.0)
+    for k in itertools.count() if rounds is None else range(rounds):
         moved = mass.join(steps, mass.host == steps.src).select(F.col("dst").alias("host"), (damping * F.col("mass") * F.col("share")).alias("part"))
         after = moved.unionByName(base).groupBy("host").agg(F.sum("part").alias("mass"))
         if (k + 1) % stage_every == 0:
             after = stage(after, "mass")
-            change = after.join(mass.withColumnRenamed("mass", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-            if (change or 0.0) < tolerance:
+            change = after.join(mass.withColumnRenamed("mass", "was"), "host", "full").agg(F.max(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+            if (change or 0.0) <= least:
                 return after
         mass = after
     return stage(mass, "mass")

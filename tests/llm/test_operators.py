@@ -351,6 +351,13 @@ def test_trust_spreads(spark):
     assert all(abs(rank[k] - v) < 1e-4 for k, v in {"a": a, "b": b, "c": c}.items())
 
 
+def test_distrust_reaches_as_far_with_many_seeds(spark):
+    seeds = spark.range(20_000).select(F.concat(F.lit("s"), F.col("id")).alias("host"), F.lit(1 / 20_000).alias("seed"))
+    edges = spark.createDataFrame([("s0", "c1", 1.0)] + [(f"c{k}", f"c{k + 1}", 1.0) for k in range(1, 28)], "src string, dst string, weight double")
+    got = {r["host"]: r["mass"] for r in url_trust.propagate(edges, seeds).filter("host like 'c%'").collect()}
+    assert len(got) == 28 and all(abs(got[f"c{k}"] * 20_000 / (0.15 * 0.85**k) - 1) < 1e-3 for k in range(1, 29))
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
