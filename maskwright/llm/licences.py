@@ -1,17 +1,18 @@
 """Licence recognition by sentences.
 
 A text's sentences are normalised (lower case, letters and digits only, one space) and those that are known licence sentences
-become identifiers; the order of identifiers is matched against licence rules, longest first, and what a rule has used is
-used up. So a licence is told from another that shares sentences with it by which sentences stand together.
+become identifiers, in the order of the text; this sequence is matched against licence rules, longest first, and what a rule
+has used is used up. So a licence is told from another that shares sentences with it by which sentences stand together: between
+two of a rule's sentences at most ``most_gap`` other words may stand (an address, a heading, a sentence not known).
 
 Plan, DataFrame functions only: one regular expression decides which texts can hold a licence sentence at all (every known
 sentence has one of its words); only those are cut into sentences. A known sentence that holds a cut itself is met as a run of
-as many parts. Identifiers come from an equi-join with the dictionary,
-which is broadcast when counted to be small. Rows are numbered, so repeated rows stay apart; only identifiers are shuffled,
-never texts. A line that stands in a third of all documents is a dictionary hit in the scan and meets nobody.
+as many parts. Identifiers come from an equi-join with the dictionary, which is broadcast when measured to be small. Rows are
+numbered, so repeated rows stay apart; only identifiers are shuffled, never texts. A line that stands in a third of all documents is a dictionary hit in the scan and meets nobody.
 
-Null or empty text: no sentence, no licence. Repeated rows: each by itself. Empty table: empty result. Other columns are
-ignored, whatever their names.
+Null or empty text: no sentence, no licence. Null doc_id: as any other. Repeated rows: each by itself. Of known sentences that
+overlap, the one that begins first counts, of these the longest, of these the first by identifier. Empty table: empty result.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ SENTENCES = {
     "UnlicenseNote": ["This is free and unencumbered software released into the public domain."],
 }
 
-#: Licences as sequences of sentence identifiers; of two that fit at one place the earlier here wins.
+#: Licences as sequences of sentence identifiers; of two as long that fit at one place the earlier here wins.
 RULES = [
     ("MIT", ["MITGrant", "MITNotice", "MITWarranty"]),
     ("Apache-2.0", ["ApacheNote", "ApacheUse", "ApacheCopy", "ApacheBasis"]),
@@ -110,42 +111,90 @@ def _normal(part: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))
 
 
-def _runs(cut: Column, most: int) -> Column:
-    """Of the parts of a text, in order, every run of one to ``most`` of them as one normalised string: a known sentence may
-    hold a sign that cuts ('free software: you', 'v. 2.0')."""
-    parts = F.filter(F.transform(cut, _normal), lambda x: x != "")
-    at = lambda own, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(own) - i)), lambda n: F.array_join(F.slice(own, i + 1, n), " "))
-    # bound as a variable, or the parts would be cut again for each of them
-    return F.flatten(F.flatten(F.transform(F.array(parts), lambda own: F.transform(own, lambda _, i: at(own, i)))))
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
-def _placed(runs: Column) -> Column:
-    return F.transform(runs, lambda x, i: F.struct(i.cast("long").alias("at"), x.alias("sentence")))
+def _bound(make, *values: Column) -> Column:
+    """``make`` of values that are computed once each, however often it uses them."""
+    names = [f"v{k}" for k in range(len(values))]
+    return F.transform(F.array(F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])), lambda x: make(*[x[n] for n in names]))[0]
 
 
-def _sentences(text: Column, most: int) -> Column:
-    """Sentences as (at, sentence), in order. A sentence ends with its sign before white space, or with a blank line; a line
-    that is a sentence by itself counts too, so a notice without a full stop is found. Where a line is also a sentence of the
-    running text, both have the same place and become one."""
-    running = F.split(F.regexp_replace(text, r"(?<![\n])\n(?![ \t\r]*\n)[ \t]*(?:[#*/;%-]+[ \t]+)?", " "), _STOP + r"|\n[ \t\r]*\n", -1)
-    return _placed(_runs(running, most))
+def before(sizes: Column) -> Column:
+    """For each place of ``sizes``, and the one past its end, the sum of what stands before. Sums are made over groups of about
+    the square root of all, so n places cost n**1.5 steps."""
+
+    def by_groups(own: Column, k: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / k).cast("int")), lambda j: _sum(F.slice(own, j * k + 1, k)))
+        starts = lambda g: F.transform(g, lambda _, j: _sum(F.slice(g, F.lit(1), j)))
+        at = lambda g: F.transform(own, lambda _, i: F.get(g, F.floor(i / k).cast("int")) + _sum(F.slice(own, F.floor(i / k).cast("int") * k + 1, F.pmod(i, k))))
+        return _bound(lambda g: _bound(at, starts(g)), groups)
+
+    every = F.concat(sizes, F.array(F.lit(0)))
+    return _bound(by_groups, every, F.ceil(F.sqrt(F.size(every))).cast("int"))
+
+
+def _words(part: Column) -> Column:
+    return F.size(F.split(part, " "))
+
+
+def _runs(groups: Column, most: int) -> Column:
+    """Of groups of normalised parts every run of one to ``most`` parts of a group, as (at, words, sentence): the number of
+    words before it in the text, its own, and its words. A known sentence may hold a sign that cuts ('free software: you')."""
+
+    def of_group(own: Column, ends: Column, base: Column) -> Column:
+        run = lambda i, n: F.struct((base + F.get(ends, i)).cast("long").alias("at"), (F.get(ends, i + n) - F.get(ends, i)).alias("words"), F.array_join(F.slice(own, i + 1, n), " ").alias("sentence"))
+        return F.flatten(F.transform(own, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(own) - i)), lambda n: run(i, n))))
+
+    each = lambda gs, starts: F.flatten(F.transform(gs, lambda g, j: _bound(of_group, g, before(F.transform(g, _words)), F.get(starts, j))))
+    return _bound(lambda gs: _bound(each, gs, before(F.transform(gs, lambda g: _sum(F.transform(g, _words))))), groups)
 
 
-def _lines(text: Column, most: int) -> Column:
-    return _placed(F.flatten(F.transform(F.split(text, r"\n", -1), lambda x: _runs(F.split(x, _STOP, -1), most))))
+def _parts(cut: Column) -> Column:
+    return F.filter(F.transform(cut, _normal), lambda x: x != "")
+
+
+def sentences_of(text: Column, most: int) -> Column:
+    """Sentences as (at, words, sentence). A sentence ends with its sign before white space, or with a blank line; a line that is
+    a sentence by itself counts too, so a notice without a full stop is found. Both ways count the same words, so a sentence
+    has one place however it is cut."""
+    running = F.split(F.regexp_replace(text, r"(?<![\n])\n(?![ \t\r]*\n)[ \t]*(?:[#*/;%-]+[ \t]+)?", " "), _STOP + r"|\n[ \t\r]*\n", -1)
+    lines = F.transform(F.split(text, r"\n", -1), lambda x: _parts(F.split(x, _STOP, -1)))
+    return F.concat(_runs(F.array(_parts(running)), most), _runs(lines, most))
 
 
 def sentence_hits(documents: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """row, way ('text': sentences across line ends, 'line': within lines), at, identifier; known sentences have up to ``most`` parts."""
+    """row, doc_id, hits: the known sentences of each row of (row, doc_id, text) as (at, minus words, identifier), in order."""
     words, _ = bounded_broadcast(known, 200_000)
-    cut = documents.filter(F.col("text").rlike(_hint())).select("row", F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("line")), F.array(_sentences(F.col("text"), most), _lines(F.col("text"), most)))).alias("way", "all"))
-    return cut.select("row", "way", F.inline("all")).join(words, "sentence").select("row", "way", "at", "identifier")
+    nothing = F.array().cast("array<struct<at:bigint,words:int,sentence:string>>")
+    itself = F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).alias("words"), F.concat(F.lit("\x01"), F.col("row").cast("string")).alias("sentence")))
+    cut = documents.select("row", "doc_id", F.inline(F.concat(itself, F.when(F.col("text").rlike(_hint()), sentences_of(F.col("text"), most)).otherwise(nothing))))
+    # one pass gives a row for each document and those of its known sentences, so row numbers are drawn once
+    met = stage(cut.join(words, "sentence", "left").filter((F.col("at") < 0) | F.col("identifier").isNotNull()).select("row", "doc_id", "at", "words", "identifier"), "licence-sentences")
+    hit = F.when(F.col("at") >= 0, F.struct("at", (-F.col("words")).alias("minus"), "identifier"))
+    return met.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(hit)).alias("hits"))
+
 
+def apart(hits: Column) -> Column:
+    """Hits without those that begin inside an earlier one (of two at one place, the longer is the earlier)."""
+    end = lambda x: x["at"] - x["minus"]
+    meets = F.exists(F.sequence(F.lit(1), F.size(hits) - 1), lambda i: F.get(hits, i)["at"] < end(F.get(hits, i - 1)))
+    kept = F.aggregate(hits, F.slice(hits, 1, 0), lambda a, x: F.when((F.size(a) > 0) & (x["at"] < end(F.element_at(a, -1))), a).otherwise(F.concat(a, F.array(x))))
+    return F.when((F.size(hits) > 1) & meets, kept).otherwise(hits)
 
-def recognise(identifiers: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """Licences of a sequence of identifiers (array), sorted and distinct: rules in order, each using up what it matches."""
-    state = F.struct(F.concat(F.lit(" "), F.array_join(F.transform(identifiers, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), " "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("found"))
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" ".join(f"<{x}>" for x in seq)).alias("seq")) for name, seq in rules])
+
+def sequence_of(hits: Column, most_gap: int) -> Column:
+    """Identifiers in angle brackets and in order, with a bar where more than ``most_gap`` other words stand between."""
+    gap = lambda x, i: x["at"] - F.get(hits, i - 1)["at"] + F.get(hits, i - 1)["minus"]
+    return F.array_join(F.transform(hits, lambda x, i: F.concat(F.when((i > 0) & (gap(x, i) > most_gap), "| ").otherwise(""), F.lit("<"), x["identifier"], F.lit(">"))), " ")
+
+
+def recognise(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """Licences of a sequence, sorted and distinct: rules by falling length (of equal ones in the order given), each using up
+    what it matches."""
+    state = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" ".join(f"<{x}>" for x in seq)).alias("seq")) for name, seq in sorted(rules, key=lambda r: -len(r[1]))])
 
     def step(acc: Column, rule: Column) -> Column:
         fits = F.contains(acc["left"], rule["seq"])
@@ -154,18 +203,9 @@ def recognise(identifiers: Column, rules: list[tuple[str, list[str]]]) -> Column
     return F.array_sort(F.aggregate(table, state, step)["found"])
 
 
-def scan(documents: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
-    """doc_id, n_sentences (known ones), identifiers (in order), licences (sorted) for each row of (doc_id, text).
-
-    The sequence of the running text is taken, and of the single lines those identifiers that it lacks, after it.
-    """
-    spark = documents.sparkSession
+def scan(documents: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None, most_gap: int = 40) -> DataFrame:
+    """doc_id, n_sentences (known ones), identifiers (in the text's order), licences (sorted) for each row of (doc_id, text)."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
     most = max((parts_of(x) for xs in (sentences or SENTENCES).values() for x in xs), default=1)
-    hits = stage(sentence_hits(rows, dictionary(spark, sentences), most), "licence-sentences")
-    order = lambda way: F.transform(F.array_sort(F.collect_list(F.when(F.col("way") == way, F.struct("at", "identifier")))), lambda x: x["identifier"])
-    found = hits.groupBy("row").agg(order("text").alias("running"), order("line").alias("lines"))
-    every = found.select("row", F.concat("running", F.filter("lines", lambda x: ~F.array_contains(F.col("running"), x))).alias("identifiers"))
-    named = every.select("row", "identifiers", recognise(F.col("identifiers"), rules or RULES).alias("licences"))
-    empty = F.array().cast("array<string>")
-    return rows.select("row", "doc_id").join(named, "row", "left").select("doc_id", F.coalesce(F.size("identifiers"), F.lit(0)).cast("long").alias("n_sentences"), F.coalesce("identifiers", empty).alias("identifiers"), F.coalesce("licences", empty).alias("licences"))
+    found = sentence_hits(rows, dictionary(documents.sparkSession, sentences), most).select("doc_id", apart(F.col("hits")).alias("hits"))
+    return found.select("doc_id", F.size("hits").cast("long").alias("n_sentences"), F.col("hits.identifier").alias("identifiers"), recognise(sequence_of(F.col("hits"), most_gap), rules or RULES).alias("licences"))

@@ -60,3 +60,13 @@ s AS (SELECT t.doc_id, sum(CASE WHEN two.c >= 2 THEN ln(two.c / prior.c) ELSE ln
   FROM t CROSS JOIN n JOIN one ON t.x = one.x LEFT JOIN two ON t.p = two.p AND t.x = two.x LEFT JOIN one AS prior ON t.p = prior.x GROUP BY t.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
 """
+
+#: No link of the test pages names a host, so their link graph is empty and what no rule decides is allowed.
+URL_FILTERS = rf"""
+WITH rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (SELECT DISTINCT url, translate(regexp_extract(url, '://([^/?#]*)', 1), {UPPER_LOWER}) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL),
+best AS (SELECT url, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY url)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict
+FROM pages LEFT JOIN u USING (url) LEFT JOIN best USING (url)
+"""

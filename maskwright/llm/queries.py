@@ -69,4 +69,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_warc, op7_licence_scan, op8_lm_scoring, op9_pii_surrogates, op10_url_filters)}
-ORACLES: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION, "op2_suffix_array_dedup": oracles.REPEATED_STRINGS, "op3_ngram_jaccard_join": oracles.JACCARD_COMPONENTS, "op6_warc": oracles.WARC, "op8_lm_scoring": oracles.LM_SCORE}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION, "op2_suffix_array_dedup": oracles.REPEATED_STRINGS, "op3_ngram_jaccard_join": oracles.JACCARD_COMPONENTS, "op6_warc": oracles.WARC, "op8_lm_scoring": oracles.LM_SCORE, "op10_url_filters": oracles.URL_FILTERS}

@@ -8,11 +8,12 @@ most of whose pages are blocked by rules is distrusted. Personalised PageRank sp
 edges; the same iteration on reversed edges spreads distrust from the blocked seeds to those who link to them. A host is
 blocked if its distrust exceeds both ``threshold`` times its seeds' mean mass and its trust; its undecided pages follow.
 
-Each iteration is one join and one aggregation by host (sums combine on the map side, so a host with a third of all links
-meets few rows per task), staged every few steps. Nothing but two totals reaches the driver.
+Each iteration is one join and one aggregation by host (sums combine on the map side; the edges of a hub and the pages of a
+frequent host are dealt among tasks), staged every few steps. Nothing but totals reaches the driver.
 
-Null url or none with "://": empty host and path, no rule, verdict allow. Null html: no links. Repeated rows: each judged
-alike, one result row per row. Empty table: empty result.
+Null url or none with "://": empty host and path, no rule, verdict allow. Null html: no links. Null page_id: as any other.
+Repeated rows: each judged alike, one result row per row. Two rules of equal length fit one url: the later by name. A host that
+is trusted and distrusted alike: allowed. Empty table: empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.workspace import bounded_broadcast, stage
+from maskwright.llm.workspace import bounded_broadcast, hot_join, stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,29 +55,40 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight (number of links) between different hosts, from absolute links in ``html`` of (host, html)."""
-    links = pages.filter((F.col("host") != "") & F.contains(F.col("html"), F.lit("://"))).select(F.col("host").alias("src"), F.explode(F.expr(r"""regexp_extract_all(html, "(?i)href\\s*=\\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\\s>]*)", 1)""")).alias("to"))
-    return links.select("src", host_of(F.col("to")).alias("dst")).filter((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    """src, dst, weight (number of links) between different hosts, from links in ``html`` of (host, html) that name a host,
+    with a scheme or (``//host/path``) without."""
+    found = F.expr(r"""regexp_extract_all(html, "(?i)href\\s*=\\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\\s>]*)", 1)""")
+    links = pages.filter((F.col("host") != "") & F.contains(F.col("html"), F.lit("//"))).select(F.col("host").alias("src"), F.explode(found).alias("to"))
+    return links.select("src", F.translate("to", _UPPER, _LOWER).alias("dst")).filter((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-5, stage_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-5, stage_every: int = 4, hub: int = 10_000) -> DataFrame:
     """host, mass: personalised PageRank from ``seeds`` (host, seed; summing to 1). Mass that has no edge to follow ends there.
-    Ends when no host's mass changes by more than ``tolerance`` times the largest seed, however many seeds there are; all
-    changes together shrink by ``damping`` a round, so it ends without a limit of ``rounds``."""
-    total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = stage(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "links")
+    Ends when no host's mass changes by more than ``tolerance`` times the largest seed between two staged rounds, however many
+    seeds there are; all changes together shrink by ``damping`` a round, so it ends without a limit of ``rounds``.
+
+    The edges of a host with more than ``hub`` of them are dealt into cells, and its mass goes to each of these."""
+    total = stage(edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("n")), "out")
+    share = (F.col("weight") / F.col("out")).alias("share")
+    joined = hot_join(edges, total.withColumn("degree", F.col("n")), "src", "n", ["dst"], least=hub)
+    steps = stage(joined.select("src", F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / hub)).cast("int").alias("cell"), "dst", share), "links")
+    hubs, _ = bounded_broadcast(total.filter(F.col("n") > hub).select(F.col("src").alias("hub"), F.ceil(F.col("n") / hub).cast("int").alias("cells")), 200_000)
     mass = stage(seeds.select("host", F.col("seed").alias("mass")), "mass")
     base = mass.select("host", ((1 - damping) * F.col("mass")).alias("part"))
     least = tolerance * (mass.agg(F.max("mass")).first()[0] or 0.0)
+    held = mass  # as it was staged last
     for k in itertools.count() if rounds is None else range(rounds):
-        moved = mass.join(steps, mass.host == steps.src).select(F.col("dst").alias("host"), (damping * F.col("mass") * F.col("share")).alias("part"))
-        after = moved.unionByName(base).groupBy("host").agg(F.sum("part").alias("mass"))
-        if (k + 1) % stage_every == 0:
-            after = stage(after, "mass")
-            change = after.join(mass.withColumnRenamed("mass", "was"), "host", "full").agg(F.max(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-            if (change or 0.0) <= least:
-                return after
-        mass = after
+        spread = mass.join(hubs, mass.host == hubs.hub, "left").select("host", "mass", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)).alias("cell"))
+        moved = spread.join(steps, (spread.host == steps.src) & (spread.cell == steps.cell)).select(F.col("dst").alias("host"), (damping * F.col("mass") * F.col("share")).alias("part"))
+        parts = moved.unionByName(base).withColumn("was", F.lit(0.0))
+        if (k + 1) % stage_every:
+            mass = parts.groupBy("host").agg(F.sum("part").alias("mass"))
+            continue
+        parts = parts.unionByName(held.select("host", F.lit(0.0).alias("part"), F.col("mass").alias("was")))
+        after = stage(parts.groupBy("host").agg(F.sum("part").alias("mass"), F.sum("was").alias("was")), "mass")
+        mass = held = after.select("host", "mass")
+        if (after.agg(F.max(F.abs(F.col("mass") - F.col("was")))).first()[0] or 0.0) <= least:
+            return mass
     return stage(mass, "mass")
 
 
@@ -99,8 +111,9 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.01, damping:
     blocked = seeds("blocked")
     distrust = propagate(reverse, blocked, damping).withColumnRenamed("mass", "distrust")
     level = distrust.join(blocked.select("host"), "host", "left_semi").agg(F.avg("distrust")).first()[0] or 0.0
-    scored = by_host.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = scored.filter((F.col("distrust") > F.lit(threshold * level)) & (F.col("distrust") > F.col("trust")))
-    hosts = scored.join(bad.select("host", F.lit(True).alias("bad")), "host", "left")
+    scored = by_host.select("host", "n").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    bad = (F.col("distrust") > F.lit(threshold * level)) & (F.col("distrust") > F.col("trust"))
+    hosts = stage(scored.select("host", "n", "trust", "distrust", bad.alias("bad")), "judged")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), "block").otherwise("allow"))
-    return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    judged = hot_join(ruled, hosts, "host", "n", ["row"], "left")
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -6,14 +6,15 @@ and a seeking reader touches one frame. An index maps each record identifier to
 
 Of records with equal payloads (of at least ``least`` bytes) the one with the largest page_id is a *response*, others are
 *revisit* records that refer to it and carry no payload. Equality is by SHA-256 and length. Only (page_id, digest) pairs meet
-by digest, with counts combined before the shuffle; payloads are dealt by page_id, so that thousands of copies of one payload
-never land in one task.
+by digest, with counts combined before the shuffle and the rows of a frequent payload dealt among tasks; payloads are dealt by
+page_id, so that thousands of copies of one payload never land in one task.
 
 Bundles are rows of a Parquet table in the shared folder: Spark's own writer puts them there, whatever the store, and a task
 that is run again replaces its own files alone.
 
 Null html: an empty payload. Null url: no target header. Null page_id: a record without an identifier. Rows that repeat
-page_id and payload are each a response. Empty table: no bundle, empty result.
+page_id and payload are each a response. Equal payloads under the largest page_id more than once: each of these is a response.
+Empty table: no bundle, empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.workspace import stage
+from maskwright.llm.workspace import hot_join, stage
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _BUNDLES = "bundle string, data binary, page_id array<long>, frame array<int>, offset array<int>"
@@ -141,8 +142,9 @@ def write_archives(pages: DataFrame, least: int = 0, frame_bytes: int = 1 << 18,
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("digest", F.concat(F.sha2("payload", 256), F.lit("-"), F.octet_length("payload")))
     narrow = keyed.filter(F.octet_length("payload") >= least).select("page_id", "digest")
-    first = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = narrow.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
+    first = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    first = stage(first, "payloads")
+    again = hot_join(narrow, first, "digest", "n", ["page_id"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
     marked = keyed.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     shaped = marked.select("page_id", "url", "payload", "refers_to", F.col("d").isNotNull().alias("revisit"))
     return stage(shaped.mapInArrow(functools.partial(_write, frame_bytes=frame_bytes, bundle_bytes=bundle_bytes, level=level), _BUNDLES), "warc")

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,9 +59,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_broadcast(df: DataFrame, row_limit: int) -> tuple[DataFrame, bool]:
-    """A broadcast hint if ``df`` has been counted to hold at most ``row_limit`` rows; else ``df`` as it is (shuffled joins)."""
-    from pyspark.sql import functions as F
-
-    small = df.limit(row_limit + 1).count() <= row_limit
+def bounded_broadcast(df: DataFrame, row_limit: int, byte_limit: int = 64 << 20) -> tuple[DataFrame, bool]:
+    """A broadcast hint if ``df`` has been measured to hold at most ``row_limit`` rows and ``byte_limit`` bytes (as JSON); else
+    ``df`` as it is (shuffled joins)."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, held = df.limit(row_limit + 1).agg(F.count("*"), F.sum(size)).first()
+    small = n <= row_limit and (held or 0) <= byte_limit
     return (F.broadcast(df), True) if small else (df, False)
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str, n: str, by: list[str], how: str = "inner", least: int = 1_000, most_hot: int = 100_000) -> DataFrame:
+    """``many.join(few, key, how)`` in which a frequent key is dealt among many tasks.
+
+    ``few`` has one row for each key, with the number ``n`` of its rows in ``many`` (dropped). A key of more than ``least`` rows,
+    or of a ``most_hot``-th of all rows where that is more, is hot: its rows are dealt by a hash of the columns ``by`` into
+    cells of about as many rows, and its row in ``few`` is repeated for each cell. There are at most ``most_hot`` hot keys,
+    whatever the input, and they alone are broadcast.
+    """
+    total = few.agg(F.sum(n)).first()[0] or 0
+    from_ = max(least, total // most_hot)
+    cells = F.ceil(F.col(n) / from_).cast("int")
+    hot = F.broadcast(few.filter(F.col(n) > from_).select(F.col(key).alias("_key"), cells.alias("_cells")))
+    cell = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_cells")).cast("int"), F.lit(0))
+    left = many.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_cell", cell).drop("_key", "_cells")
+    right = few.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > from_, cells - 1).otherwise(0)))).drop(n)
+    return left.join(right, [key, "_cell"], how).drop("_cell")

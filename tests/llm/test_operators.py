@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, licences, lm_score, near_duplicates, packing, quality_rules, queries, repeated_strings, surrogates, url_trust, warc, word_bpe
+from maskwright.llm import decontaminate, licences, lm_score, near_duplicates, packing, quality_rules, queries, repeated_strings, surrogates, url_trust, warc, word_bpe, workspace
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -371,3 +371,95 @@ def test_pipeline(spark, small):
     assert sorted(ids) == sorted(set(groups.values()))
     rows = corpus_pipeline.run(spark, small).collect()
     assert {r["doc_id"] for r in rows} <= set(ids) and [name for name, _ in corpus_pipeline.STAGES][0] == "quality_rules"
+
+
+def test_licence_sentences_stand_together_and_in_order(spark):
+    s = licences.SENTENCES
+    foreign = lambda n: " ".join(f"Word{k} stands here." for k in range(n))
+    texts = [
+        f"{s['MITGrant'][0]} {foreign(60)} {s['MITNotice'][0]}",
+        f"{s['MITGrant'][0]} {foreign(3)} {s['MITNotice'][0]}",
+        f"{s['MITNotice'][0]} {s['MITGrant'][0]}",
+        "All rights reserved\nsome words\n" + s["MITNote"][0] + "\n" + s["ApacheNote"][0],
+        "\n".join(["All rights reserved."] * 3000),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, row string").repartition(3)
+    rows = licences.scan(docs).collect()
+    got = {r["doc_id"]: (r["identifiers"], r["licences"]) for r in rows}
+    assert len(rows) == 2 * len(texts)
+    assert got[0] == (["MITGrant", "MITNotice"], []) and got[1][1] == ["MIT"] and got[2] == (["MITNotice", "MITGrant"], [])
+    assert got[3] == (["AllRights", "MITNote", "ApacheNote"], ["All-rights-reserved", "Apache-2.0", "MIT"])
+    assert got[4] == (["AllRights"] * 3000, ["All-rights-reserved"])
+
+
+def _plain_licences(text):
+    """Identifiers and licences by looking at every run of words between places where a sentence may begin and end."""
+    norm = lambda x: licences.normalise(x).split()
+    known = {tuple(norm(x)): k for k, xs in licences.SENTENCES.items() for x in xs}
+    running = re.sub(r"(?<!\n)\n(?![ \t\r]*\n)[ \t]*(?:[#*/;%-]+[ \t]+)?", " ", text)
+    found = set()
+    for groups in ([re.split(licences._STOP + r"|\n[ \t\r]*\n", running)], [re.split(licences._STOP, line) for line in text.split("\n")]):
+        words = 0
+        for parts in groups:
+            parts = [norm(p) for p in parts if norm(p)]
+            for a in range(len(parts)):
+                for b in range(a + 1, len(parts) + 1):
+                    run = tuple(w for p in parts[a:b] for w in p)
+                    if run in known:
+                        found.add((words + sum(map(len, parts[:a])), -len(run), known[run]))
+            words += sum(map(len, parts))
+    kept = []
+    for hit in sorted(found):
+        if not kept or hit[0] >= kept[-1][0] - kept[-1][1]:
+            kept.append(hit)
+    names, left = set(), [(h[2], h[0] - h[1], h[0]) for h in kept]
+    for name, seq in sorted(licences.RULES, key=lambda r: -len(r[1])):
+        k = 0
+        while k + len(seq) <= len(left):
+            part = left[k : k + len(seq)]
+            if None not in part and [p[0] for p in part] == seq and all(q[2] - p[1] <= 40 for p, q in zip(part, part[1:], strict=False)):
+                names.add(name)
+                left[k : k + len(seq)] = [None]
+            k += 1
+    return [h[2] for h in kept], sorted(names)
+
+
+def test_licences_against_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = random.Random(7)
+    own = [x for xs in licences.SENTENCES.values() for x in xs]
+    made = [rng.choice(["\n", " ", "\n\n", "\n# "]).join(rng.choice([*own, "Foo bar.", "word " * 50]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["identifiers"], r["licences"]) for r in licences.scan(every).collect()}
+    want = {r["doc_id"]: _plain_licences(r["text"] or "") for r in every.collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and len(got) == len(want)
+
+
+def test_trust_converges(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = {r["host"]: r["mass"] for r in url_trust.propagate(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double")).collect()}
+    assert abs(got["a"] - 1 / 1.85) < 1e-4 and abs(got["b"] - 0.85 / 1.85) < 1e-4
+
+
+def test_trust_passes_hubs_and_links_without_scheme(spark):
+    pages = [(1, "http://bad.net/es/", ""), (2, "http://farm.org/", '<A HREF = //bad.net/x>'), (3, "http://other.org/", "<a href='/bad.net/es/'>")]
+    got = {r["page_id"]: r["verdict"] for r in url_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), url_trust.rule_table(spark, queries.URL_RULES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+    edges = spark.createDataFrame([("a", f"b{k}", 1.0 + k % 3) for k in range(50)] + [(f"b{k}", "a", 1.0) for k in range(50)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    one, other = ({r["host"]: r["mass"] for r in url_trust.propagate(edges, seeds, hub=h, rounds=8).collect()} for h in (7, 10_000))
+    assert set(one) == set(other) and all(abs(one[k] - other[k]) < 1e-12 for k in one)
+
+
+def test_hot_keys_are_dealt(spark):
+    many = spark.range(1000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    few = many.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.length("k"))
+    got = workspace.hot_join(many, few, "k", "n", ["id"], least=50)
+    assert sorted(got.columns) == ["id", "k", "v"] and sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted((r["k"], r["id"], len(r["k"])) for r in many.collect())
+    assert workspace.hot_join(many.limit(0), few.limit(0), "k", "n", ["id"]).count() == 0
+
+
+def test_warc_ties_and_repeats(spark):
+    rows = [(7, "u", "x"), (7, "u", "x"), (7, "v", "y"), (3, "u", "x"), (3, "u", "x")]
+    got = sorted(tuple(r)[:1] + tuple(r)[3:] for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect())
+    assert got == [(3, "revisit", 7)] * 2 + [(7, "response", None)] * 3
