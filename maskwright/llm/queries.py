@@ -59,7 +59,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed, _ = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    changed, _ = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, "n_entities")
     return changed.select("doc_id", "text", "n_entities")
 
 

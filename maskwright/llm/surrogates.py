@@ -14,12 +14,15 @@ surrogate is a real value, and equal entities stay equal across all documents. A
 has entities of it (two syllables of a Han name): after some attempts each further one makes the surrogate longer by a
 character, a name's words by two, so there are soon more strings than entities, however many they are.
 
-Plan, DataFrame functions only: a document without an entity goes straight from scan to result. Of the others, the entities
-(not the texts) meet the mapping by value, hot values being replicated with a salt, and go back by (doc_id, digest of the
-text); AQE splits what stays uneven.
+Coreference: a word of a name that was found by its title or honorific is replaced wherever else it stands by itself in the same
+document ("Dr Anna Smith called. Smith said"), by the word that it has become there; where several names of a document share a
+word, by that of the first. What remains undetected: names that nowhere in their document have a title or honorific.
 
-Null text stays null. Empty text: unchanged. Rows that repeat doc_id and text are each changed alike. Null doc_id: as any
-other. Other columns of the input are kept, whatever their names, by ``pseudonymise``. Empty table: empty result.
+Plan, DataFrame functions only: each text is searched once, and entities and gaps are staged. Entities (not texts) meet the
+mapping by value, frequent values being dealt among tasks, and go back by row number; a document without an entity meets nobody.
+
+Null text stays null. Empty text: unchanged. Repeated rows are each changed alike. Null doc_id: as any other. Other columns of the
+input are kept, whatever their names, by ``pseudonymise``. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.workspace import bounded_broadcast, stage
+from maskwright.llm.workspace import hot_join, stage
 
 #: Titles that open a personal name, by the gender they tell.
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don")
@@ -49,7 +52,12 @@ PATTERNS = (
     ("PHONE", r"(?<![0-9A-Za-z.+-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
     ("ID", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("PERSON", rf"(?<!\p{{L}})(?:{_TITLES})\.?[  ]\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*+(?![0-9])(?: \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*+(?![0-9])){{0,2}}"),
-    ("PERSON", r"(?<!\p{L})[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{2,4}(?=さん|様|氏)|(?<!\p{L})[\p{IsHangul}]{2,4}(?=씨)"),
+    (
+        "PERSON",
+        r"(?<!\p{IsHan})\p{IsHan}{2,4}(?=さん|氏)|(?<![\p{IsKatakana}ー])\p{IsKatakana}[\p{IsKatakana}ー]{1,7}(?=さん|様|氏)"
+        r"|(?<!\p{L})[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{2,4}(?=さん|様|氏)"
+        r"|(?<!\p{L})\p{IsHangul}{2,4}(?=씨| 씨(?:[^\p{IsHangul}]|$|는|가|를|의|와|도|에게))",
+    ),
 )
 #: No text without one of these has an entity. Words are tried where they begin, so a text without any is read once, quickly.
 _HINT = r"[0-9@=_さ様氏씨]|(?<![A-Za-z0-9])(?:(?:" + _TITLES + r")\.?[  ]\p{Lu}|(?i:password|passwd|pwd)\s?:|sk-|xox[baprs]-|AKIA)"
@@ -71,6 +79,7 @@ _SCRIPTS = {
     "han": (r"\p{IsHan}", "山川田中村松林森", "一本上下野原島井", "男", "子", "美"),
 }
 
+_EAST_ASIAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 #: Names are drawn so many times before they become longer.
 _NAME_ATTEMPTS = 8
 
@@ -135,6 +144,19 @@ def _ipv4(stream: Column) -> Column:
     return F.concat_ws(".", *[(1 + F.pmod(_byte(stream, F.lit(k)), F.lit(254))).cast("string") for k in range(4)])
 
 
+def _character(c: Column, n: Column) -> Column:
+    """The n-th letter (n below 65536) of the script of an East Asian character; others stay."""
+    code = F.when(c.rlike(r"\p{IsHangul}"), 0xAC00 + 28 * F.pmod(n, F.lit(399))).when(c.rlike(r"\p{IsHan}"), 0x4E00 + F.pmod(n, F.lit(20_902)))
+    code = code.when(c.rlike(r"\p{IsKatakana}"), 0x30AB + F.pmod(n, F.lit(72))).when(c.rlike(r"\p{IsHiragana}"), 0x304B + F.pmod(n, F.lit(72)))
+    return F.coalesce(F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE"), c)
+
+
+def _east_asian(word: Column, stream: Column, extra: Column) -> Column:
+    """A name of as many characters of the same scripts, and ``extra`` more of the script of the last."""
+    letters = F.concat(F.split(word, ""), F.array_repeat(F.substr(word, F.length(word), F.lit(1)), extra))
+    return F.array_join(F.transform(letters, lambda c, i: _character(c, F.conv(F.substr(stream, 4 * i + 1, F.lit(4)), 16, 10).cast("int"))), "")
+
+
 def _name_word(word: Column, gender: Column, given: Column, key: Column, extra: Column) -> Column:
     stream = F.sha2(F.concat_ws("|", key, F.lit("name"), F.lower(word)), 256)
     at = lambda k: _byte(stream, F.lit(k))
@@ -142,21 +164,31 @@ def _name_word(word: Column, gender: Column, given: Column, key: Column, extra:
     body = F.concat(*[x for k in (0, 2, 4) for x in (_pick(_CONSONANTS, at(k)), _pick(_VOWELS, at(k + 1)))])
     tail = F.when(~given, _pick("nrst", at(6))).when(gender == "female", F.lit("la")).when(gender == "male", F.lit("lo")).otherwise(F.lit("li"))
     first, second = F.lit(_CONSONANTS), F.lit(_VOWELS)
-    for pattern, opens, vowels, male, female, other in _SCRIPTS.values():
+    for script in ("cyrillic", "greek"):
+        pattern, opens, vowels, male, female, other = _SCRIPTS[script]
         here = word.rlike("^" + pattern)
-        alphabetic = pattern in (r"\p{IsCyrillic}", r"\p{IsGreek}")
-        body = F.when(here, F.concat(*[x for k in ((0, 2, 4) if alphabetic else (0,)) for x in (_pick(opens, at(k)), _pick(vowels, at(k + 1)))])).otherwise(body)
+        body = F.when(here, F.concat(*[x for k in (0, 2, 4) for x in (_pick(opens, at(k)), _pick(vowels, at(k + 1)))])).otherwise(body)
         tail = F.when(here, F.when(~given, F.lit("")).when(gender == "male", F.lit(male)).when(gender == "female", F.lit(female)).otherwise(F.lit(other))).otherwise(tail)
         first, second = F.when(here, F.lit(opens)).otherwise(first), F.when(here, F.lit(vowels)).otherwise(second)
     syllables = F.transform(F.array(F.struct(more.alias("more"), first.alias("first"), second.alias("second"))), lambda x: F.array_join(F.transform(F.sequence(F.lit(1), extra), lambda k: F.concat(_pick(x["first"], _byte(x["more"], 2 * k - 2)), _pick(x["second"], _byte(x["more"], 2 * k - 1)))), ""))[0]
-    return F.initcap(F.concat(body, F.when(extra > 0, syllables).otherwise(""), tail))
+    alphabetic = F.initcap(F.concat(body, F.when(extra > 0, syllables).otherwise(""), tail))
+    return F.when(word.rlike("^" + _EAST_ASIAN), _east_asian(word, _stream(F.concat_ws("|", key, F.lit("name"), word), 2 * (F.length(word) + extra)), extra)).otherwise(alphabetic)
+
+
+def title_of(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^(?:{_TITLES})\.?[  ]", 0)
+
+
+def _name_words(value: Column) -> Column:
+    """The words of a name without its title."""
+    return F.split(F.substr(value, F.length(title_of(value)) + 1, F.length(value)), " ")
 
 
 def _person(value: Column, key: Column, attempt: Column, extra: Column) -> Column:
-    title = F.regexp_extract(value, rf"^(?:{_TITLES})\.?[  ]", 0)
-    bare = F.regexp_replace(title, r"[.  ]", "")
+    title = title_of(value)
+    bare = F.regexp_replace(title, r"[.  ]", "")
     gender = F.when(bare.isin(*MALE_TITLES), "male").when(bare.isin(*FEMALE_TITLES), "female").otherwise("other")
-    words = F.split(F.substr(value, F.length(title) + 1, F.length(value)), " ")
+    words = _name_words(value)
     salted = F.when(attempt == 0, key).otherwise(F.concat_ws("|", key, attempt.cast("string")))
     return F.concat(title, F.array_join(F.transform(words, lambda w, i: _name_word(w, gender, i < F.size(words) - 1, salted, extra)), " "))
 
@@ -182,9 +214,8 @@ def candidates(entities: DataFrame, key: str, most_attempts: int) -> DataFrame:
     return rows.select("value", "kind", "attempt", drawn.alias("surrogate"))
 
 
-def _detected(documents: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return documents.withColumn("found", F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+def _detected(text: Column) -> Column:
+    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def entity_table(places: DataFrame) -> DataFrame:
@@ -214,28 +245,47 @@ def surrogate_table(entities: DataFrame, key: str, most_attempts: int = 64) -> D
             return settled
 
 
-def pseudonymise(documents: DataFrame, key: str, salts: int = 16, hot_from: int = 1_000) -> tuple[DataFrame, DataFrame]:
-    """(documents with text replaced and all columns kept, plus ``n_entities``; the table value, kind, surrogate)."""
-    if "n_entities" in documents.columns:
-        raise ValueError("the result's column n_entities would clash with one of the input")
+def _mention(word: Column) -> Column:
+    """A pattern for a word of a name where it stands by itself; a Korean word may have a particle behind it."""
+    alone = lambda sign: F.concat(F.lit(f"(?<!{sign})"), word, F.lit(f"(?!{sign})"))
+    out = F.when(word.rlike(r"^\p{IsHangul}"), F.concat(F.lit(r"(?<!\p{IsHangul})"), word)).when(word.rlike(r"^\p{IsHan}"), alone(r"\p{IsHan}"))
+    return out.when(word.rlike(r"^[\p{IsHiragana}\p{IsKatakana}]"), alone(r"[\p{IsHiragana}\p{IsKatakana}ー]")).otherwise(alone(r"[\p{L}\p{M}\p{N}]"))
+
+
+def _replaced(text: Column, pattern: Column, words: Column, new: Column) -> Column:
+    """``text`` with every match of ``pattern``, one of ``words``, replaced by its partner in ``new``."""
+    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    both = F.concat(F.element_at(parts, 1), F.array_join(F.transform(found, lambda w, i: F.concat(F.element_at(new, F.array_position(words, w).cast("int")), F.get(parts, i + 1))), ""))
+    return F.when(F.rlike(text, pattern), both).otherwise(text)
+
+
+def pseudonymise(documents: DataFrame, key: str, count_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents with text replaced and all columns kept; the table value, kind, surrogate). With ``count_column`` there is one
+    more column of that name, the number of entities, unless the input has a column of that name, which then stays as it is."""
     names = documents.columns
     renamed = documents.toDF(*[f"_in_{i}" for i in range(len(names))])
     at = {c: f"_in_{i}" for i, c in enumerate(names)}
-    rows = renamed.withColumn("text", F.col(at["text"]).cast("string")).withColumn("id", F.col(at["doc_id"]))
-    base = _detected(rows)
-    with_entities = base.filter(F.size("found") > 0).withColumn("digest", F.sha2("text", 256))
-    parts = stage(with_entities.select("id", "digest", F.posexplode("found").alias("pos", "value")).distinct(), "entity-places")
-    entities = stage(entity_table(parts), "entities")
+    rest = [c for c in renamed.columns if c != at["text"]]
+    text = F.col("text")
+    looked = renamed.withColumn("text", F.col(at["text"]).cast("string")).withColumn("found", _detected(text)).withColumn("any", F.size("found") > 0)
+    # each text is searched once: what is staged holds the entities, and the text or what stands between them
+    base = looked.select(*rest, F.when(~F.col("any"), text).alias("text"), F.when(F.col("any"), F.split(text, ANY, -1)).alias("gaps"), "found")
+    base = stage(base.withColumn("row", F.monotonically_increasing_id()), "entities")
+    with_entities = base.filter(F.col("gaps").isNotNull())
+    places = with_entities.select("row", F.posexplode("found").alias("pos", "value"))
+    entities = stage(entity_table(places), "entity-values")
     mapping = stage(surrogate_table(entities, key), "mapping")
-    frequent, _ = bounded_broadcast(entities.filter(F.col("n_occurrences") > hot_from).select(F.col("value").alias("hot")), 100_000)
-    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    salted = parts.join(frequent, F.col("value") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
-    spread = mapping.join(frequent, F.col("value") == F.col("hot"), "left").withColumn("salt", F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).select("value", "salt", "surrogate")
-    lists = salted.join(spread, ["value", "salt"]).groupBy(F.col("id").alias("k_id"), F.col("digest").alias("k_digest")).agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("new"))
-    met = with_entities.join(lists, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")))
-    gaps = F.split("text", ANY, -1)
-    joined = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(F.sequence(F.lit(1), F.size("new")), lambda k: F.concat(F.element_at(F.col("new.surrogate"), k), F.element_at(gaps, k + 1))), ""))
-    changed = met.select(*[c for c in renamed.columns if c != at["text"]], joined.alias(at["text"]), F.size("new").cast("long").alias("n_entities"))
-    same = base.filter(F.size("found") == 0).select(*[c for c in renamed.columns if c != at["text"]], F.col("text").alias(at["text"]), F.lit(0).cast("long").alias("n_entities"))
-    out = changed.unionByName(same).select(*[F.col(at[c]).alias(c) for c in names], "n_entities")
-    return out, mapping
+    known = mapping.join(entities.select("value", "n_occurrences"), "value")
+    pairs = hot_join(places, known, "value", "n_occurrences", ["row", "pos"])
+    lists = pairs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "surrogate", "kind"))).alias("new"))
+    people = F.filter("new", lambda x: x["kind"] == "PERSON")
+    words = lambda field: F.flatten(F.transform("people", lambda x: _name_words(x[field])))
+    met = with_entities.join(lists, "row").withColumn("people", people).withColumn("words", words("value")).withColumn("others", words("surrogate"))
+    longest_first = F.array_sort(F.transform(F.filter(F.array_distinct("words"), lambda w: F.length(w) > 1), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    met = met.withColumn("mention", F.array_join(F.transform(longest_first, lambda x: _mention(x["w"])), "|"))
+    met = met.withColumn("gaps", F.when(F.col("mention") != "", F.transform("gaps", lambda g: _replaced(g, F.col("mention"), F.col("words"), F.col("others")))).otherwise(F.col("gaps")))
+    joined = F.concat(F.element_at("gaps", 1), F.array_join(F.transform("new", lambda x, i: F.concat(x["surrogate"], F.get("gaps", i + 1))), ""))
+    changed = met.select(*rest, joined.alias(at["text"]), F.size("new").cast("long").alias("count"))
+    same = base.filter(F.col("gaps").isNull()).select(*rest, F.col("text").alias(at["text"]), F.lit(0).cast("long").alias("count"))
+    more = [F.col("count").alias(count_column)] if count_column and count_column not in names else []
+    return changed.unionByName(same).select(*[F.col(at[c]).alias(c) for c in names], *more), mapping
