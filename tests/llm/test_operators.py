@@ -359,18 +359,68 @@ def test_distrust_reaches_as_far_with_many_seeds(spark):
 
 
 def test_pipeline(spark, small):
+    """Every stage against a plain version of what it says, over documents with columns that clash, repeats and nulls."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("_turn", F.lit("clash"))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = docs.limit(3).unionByName(spark.createDataFrame([(None, "null id", "en", "s", 7), (77_777, None, "en", "s", 0), (77_778, "", "en", "s", 0)], docs.schema))
+    for c in ("_turn", "hit", "digest", "id", "n_entities", "pattern", "row"):
+        odd, docs = odd.withColumn(c, F.lit("mine")), docs.withColumn(c, F.lit("mine"))
+    docs = docs.unionByName(odd)
     kept = corpus_pipeline.quality(spark, docs, small)
-    assert kept.columns == docs.columns
-    doubled = kept.unionByName(kept.limit(3))
-    one = corpus_pipeline.deduplicate(spark, doubled.drop("_turn"), small)
-    ids = [r["doc_id"] for r in one.select("doc_id").collect()]
-    groups = {r["doc_id"]: r["component_id"] for r in near_duplicates.join_components(kept).collect()}
-    assert sorted(ids) == sorted(set(groups.values()))
-    rows = corpus_pipeline.run(spark, small).collect()
-    assert {r["doc_id"] for r in rows} <= set(ids) and [name for name, _ in corpus_pipeline.STAGES][0] == "quality_rules"
+    verdicts = {r["doc_id"] for r in quality_rules.judge(docs).filter("kept").collect()}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == verdicts
+    doubled = kept.unionByName(kept.limit(3)).unionByName(odd)
+    one = corpus_pipeline.deduplicate(spark, doubled, small)
+    groups = {r["doc_id"]: r["component_id"] for r in near_duplicates.join_components(doubled).collect()}
+    stays = [r["doc_id"] for r in one.collect()]
+    assert one.columns == docs.columns and sorted(map(str, stays)) == sorted(map(str, {g if i is not None else None for i, g in groups.items()}))
+    clean = corpus_pipeline.decontaminated(spark, one, small)
+    hit = {r["doc_id"] for r in decontaminate.contamination(one, spark.read.parquet(f"{small}/benchmark.parquet")).filter("contaminated").collect()}
+    assert clean.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(i) for i in stays if i not in hit) and hit
+    assert {tuple(r) for r in clean.select("_turn", "hit", "digest", "id").collect()} == {("mine",) * 4}
+    changed = corpus_pipeline.pseudonymised(spark, clean, small)
+    out, _ = surrogates.pseudonymise(clean.select("doc_id", "text"), queries.PII_KEY)
+    want = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert changed.columns == docs.columns and {r["doc_id"]: (r["text"], r["n_chars"]) for r in changed.filter("text is not null").collect()} == {i: (t, len(t)) for i, t in want.items() if t is not None}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "pii", "packing"]
+
+
+def test_pipeline_runs_as_its_stages(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        docs = workspace.stage(function(spark, docs, small), "test")
+    tokenizer = word_bpe.WordBpe(queries.tokenizer_path()).tokenizer
+    want = {(r["doc_id"], len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in docs.collect()}
+    got = Counter()
+    for r in corpus_pipeline.run(spark, small).collect():
+        got[r["doc_id"]] += r["length"]
+    assert set(got.items()) == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Texts under one doc_id are one document; rows without a doc_id link others; equal rows count once."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b, c = ([word() for _ in range(80)] for _ in range(3))
+    near = lambda x, k: " ".join([*x[:k], "changed", *x[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 0)), (3, near(b, 79)), (1, " ".join(a)), (9, " ".join(c)), (None, near(c, 40)), (8, near(near(c, 40).split(), 41)), (4, ""), (1, None)]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, node string, token int").repartition(4)
+    for per_cell in (1, 1000):
+        got = sorted((str(r["doc_id"]), r["component_id"]) for r in near_duplicates.join_components(docs, per_cell=per_cell).collect())
+        assert got == sorted([("1", 1)] * 4 + [("2", 1), ("3", 1), ("9", 8), ("8", 8), ("None", 8), ("4", 4)])
+
+
+def test_needs_are_free():
+    import numpy as np
+
+    slow = lambda cost: min(range(1, 76), key=lambda k: cost[: 25 + k].sum() + (cost[:26] - 1).sum() * 100 / 16 / 2 ** (k - 1))
+    for cost in (np.array([1] * 100), np.array([1] * 25 + [5000] * 75), np.array([3000] * 26 + [3001] * 74), np.array([10] * 90 + [10**7] * 10)):
+        assert near_duplicates.choose_need(cost, 100, 75) == slow(cost)
+    assert slow(np.array([10] * 90 + [10**7] * 10)) > 2
+    assert near_duplicates.choose_need(np.array([7]), 1, 1) == 1
 
 
 def test_licence_sentences_stand_together_and_in_order(spark):
