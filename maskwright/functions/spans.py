@@ -6,6 +6,8 @@ matches, and their lengths add up to the places; matches that a look-around reje
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +29,17 @@ def span(start: Column, end: Column, kind: Column, source: Column, ord_: Column,
     )
 
 
-def places(text: Column, pattern: str, group: int = 0) -> Column:
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
+
+def places(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """array<struct<start,end,surface>> of all matches, left to right; with ``group`` = 1, of the group that ends the match."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    gaps = F.split(text, pattern, -1)
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    matches = F.regexp_extract_all(text, regex, F.lit(0))
+    inner = F.regexp_extract_all(text, regex, F.lit(group)) if group else matches
+    gaps = F.split(text, regex, -1)
     empty = F.array().cast("array<struct<start:int,end:int,surface:string>>")
     state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 

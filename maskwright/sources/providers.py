@@ -6,6 +6,7 @@ A provider is made once per task (``mapInPandas``), and only rows that the cheap
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import SPANS, no_spans
+from maskwright.functions.spans import no_spans, span
 from maskwright.functions.structure import chunks
 from maskwright.operators.tidy import tidy
 
@@ -139,29 +140,19 @@ class HttpProvider:
 
 def detected_spans(docs: DataFrame, make: Callable[[], Provider], limit: int = 300) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``llm_spans``: the provider's findings by chunk, all their places, cleaned up."""
-    schema = f"doc_id long, found {SPANS}"
+    schema = "doc_id long, offset int, chunk string, found array<struct<start:int,end:int,type:string>>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
         for f in frames:
-            rows = []
-            for doc_id, offset, chunk in zip(f["doc_id"], f["offset"], f["chunk"], strict=True):
-                found = []
-                for surface, kind in provider.detect(chunk):
-                    if kind in DETECTED and surface.strip():
-                        at = chunk.find(surface.strip())
-                        while at >= 0:
-                            found.append((at, at + len(surface.strip()), kind))
-                            at = chunk.find(surface.strip(), at + len(surface.strip()))
-                from maskwright.operators.tidy import tidy_spans
-
-                spans = tidy_spans(chunk, [{"start": a, "end": b, "type": t} for a, b, t in found])
-                rows.append([{"start": s["start"] + offset, "end": s["end"] + offset, "type": s["type"], "source": "llm", "ord": 1000 + k, "entity_id": None, "token": None, "render": None, "level": None} for k, s in enumerate(spans)])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "found": rows})
+            asked = ([(s.strip(), t) for s, t in provider.detect(c) if t in DETECTED and s.strip()] for c in f["chunk"])
+            yield f.assign(found=[[{"start": m.start(), "end": m.end(), "type": t} for s, t in pairs for m in re.finditer(re.escape(s), c)] for pairs, c in zip(asked, f["chunk"], strict=True)])
 
     cut = docs.select("doc_id", F.explode(chunks(F.col("text"), limit)).alias("c")).select("doc_id", F.col("c.offset").alias("offset"), F.col("c.chunk").alias("chunk"))
-    found = cut.mapInPandas(run, schema).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("llm_spans"))
-    return docs.join(found, "doc_id", "left").withColumn("llm_spans", F.coalesce("llm_spans", no_spans()))
+    shift = lambda x: span(x["start"] + F.col("offset"), x["end"] + F.col("offset"), x["type"], F.lit("llm"), F.lit(1000) + x["ord"])
+    found = cut.mapInPandas(run, schema).select("doc_id", F.transform(tidy(F.col("chunk"), F.col("found")), shift).alias("found"))
+    spans = found.filter(F.size("found") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("llm_spans"))
+    return docs.join(spans, "doc_id", "left").withColumn("llm_spans", F.coalesce("llm_spans", no_spans()))
 
 
 def romanized(surfaces: DataFrame, cache: DataFrame, make: Callable[[], Provider]) -> DataFrame:

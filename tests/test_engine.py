@@ -87,11 +87,21 @@ def test_chunks_and_context(spark):
     assert md.select(structure.reduce_context(F.col("t"), F.array(F.lit("[TERM_01]")), tokens.tokens).alias("o")).first()["o"] == "# T\n- keep. tail\n1. \n"
 
 
-def test_tidy():
-    t = "한 서윤씨가 田中・太郎さん 정민호 김민준 오세린 04:30"
-    spans = [(0, 1, "PERSON"), (2, 5, "PERSON"), (7, 9, "PERSON"), (10, 14, "PERSON"), (15, 18, "PERSON"), (19, 22, "PERSON"), (23, 26, "PERSON"), (27, 32, "ADDRESS")]
-    got = [(t[s["start"] : s["end"]], s["type"]) for s in tidy.tidy_spans(t, [{"start": a, "end": b, "type": k} for a, b, k in spans])]
-    assert got[0] == ("한 서윤", "PERSON") and ("04:30", "ADDRESS") not in got
+def test_tidy(spark):
+    """Islands over joiners, lists of names taken apart, overlaps, numbers, honorifics and the linking vowel."""
+    cases = [
+        ("이 나래씨와 大野・花さん", [(0, 1, "PERSON"), (2, 5, "PERSON"), (7, 9, "PERSON"), (10, 13, "PERSON")], [("이 나래", "PERSON"), ("大野・花", "PERSON")]),
+        ("문소라 유하진 오대성", [(0, 3, "PERSON"), (4, 7, "PERSON"), (8, 11, "PERSON")], [("문소라", "PERSON"), ("유하진", "PERSON"), ("오대성", "PERSON")]),
+        ("at 09:15 in Harbour Road, Leith", [(3, 8, "ADDRESS"), (12, 24, "ADDRESS"), (26, 31, "ADDRESS"), (12, 24, "ADDRESS")], [("Harbour Road, Leith", "ADDRESS")]),
+        ("Red Mill Works", [(0, 8, "ORG"), (4, 14, "ORG"), (4, 8, "PERSON")], [("Red Mill Works", "ORG")]),
+        ("하늘이가 왔다", [(0, 3, "PERSON")], [("하늘", "PERSON")]),
+        ("AnnaBert", [(0, 4, "PERSON"), (4, 8, "PERSON")], [("Anna", "PERSON"), ("Bert", "PERSON")]),
+        ("none", [], []),
+    ]
+    rows = spark.createDataFrame([(k, t, sp) for k, (t, sp, _) in enumerate(cases)], "k int, t string, s array<struct<start:int,end:int,type:string>>")
+    for r in rows.select("k", "t", tidy.tidy(F.col("t"), F.col("s")).alias("s")).collect():
+        assert [(r["t"][x["start"] : x["end"]], x["type"]) for x in r["s"]] == cases[r["k"]][2], r["t"]
+    assert spark.createDataFrame([(None,)], "t string").select(tidy.tidy(F.col("t"), F.lit(None).cast("array<struct<start:int,end:int,type:string>>")).alias("s")).first()["s"] is None
 
 
 def test_linking(spark):
