@@ -286,9 +286,10 @@ def _rest_pairs(postings: DataFrame, percent: int) -> DataFrame:
     one. A pair that must overlap in o shingles shares at least l of the first n - o + l of one and the first m - o + l of the
     other, so a posting counts only where it stands that early on both sides, and the frequent end of every prefix takes no
     part. Nor do pairs of which one has fewer than l open postings that early (``firsts``: places of its first ones), or fewer
-    open postings in all (``k``) than a link with the other needs of its prefix.
+    open postings in all (``k``) than a link with the other needs of its prefix. This holds for every l up to what both prefixes
+    allow; here l is two at most, as a larger one would let more of the frequent shingles take part.
     """
-    firsts = F.slice(F.array_sort(F.collect_list("pos")), F.lit(1), F.max("need"))
+    firsts = F.slice(F.array_sort(F.collect_list("pos")), 1, 2)
     open_ = postings.groupBy(F.col("node").alias("k_node")).agg(F.count("*").alias("k"), firsts.alias("firsts"))
     sizes = postings.groupBy("token", "ways", "comp").agg(F.count("*").alias("c"))
     largest = _in_cells(sizes.groupBy("token", "ways").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest")))
@@ -297,12 +298,12 @@ def _rest_pairs(postings: DataFrame, percent: int) -> DataFrame:
     here = _in_cells(known.filter(~F.col("inside")).select("token", "ways", *columns))
     there = known.select("token", "cell", *[F.col(c).alias(f"{c}2") for c in columns], "inside")
     names = ("n", "n2", "need", "need2")
-    both, o = F.least("need", "need2"), _overlap(percent, "n", "n2")
+    both, o = F.least("need", "need2", F.lit(2)), _overlap(percent, "n", "n2")
     early = (F.col("pos") < F.col("n") - o + both) & (F.col("pos2") < F.col("n2") - o + both)
     able = (F.get("firsts", both - 1) < F.col("n") - o + both) & (F.get("firsts2", both - 1) < F.col("n2") - o + both)
     once = F.col("inside") | (F.col("node") < F.col("node2"))
     met = here.join(there, ["token", "cell"]).filter((F.col("comp") != F.col("comp2")) & _in_range("n", "n2", percent) & once & early & able & (F.least("k", "k2") >= _needed(percent, names)))
-    return _counted(met.select(*_sides(F.col("node") > F.col("node2"))), F.least("need_a", "need_b"))
+    return _counted(met.select(*_sides(F.col("node") > F.col("node2"))), F.least("need_a", "need_b", F.lit(2)))
 
 
 def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
