@@ -1,121 +1,101 @@
-"""Command line: mask, unmask, route, entities, glossary-check, bootstrap, apply-review, confirm, audit."""
+"""Command line: mask, unmask, route, entities, glossary-check, bootstrap, apply-review, confirm, audit, check-model, serve."""
 
 from __future__ import annotations
 
 import argparse
+import functools
 import json
-import secrets
 import sys
-import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators import bootstrap, confirm, gate, glossary, pseudonyms, router
-from maskwright.sources import files
-from maskwright.streaming.ingest import process
-
-
-def _state(spark: SparkSession, home: str):
-    if (Path(home) / "current").exists():
-        return files.read_snapshot(spark, home)
-    return pseudonyms.empty_state(spark)
-
-
-def _glossary(spark: SparkSession, home: str, project: str | None) -> list[glossary.Entry]:
-    if not project:
-        return []
-    path = Path(home) / "projects" / project / "glossary.json"
-    if not path.exists():
-        raise FileNotFoundError(f"no glossary of '{project}': {path}")
-    return glossary.entries(files.read_glossary(spark, str(path)))
-
-
-def _save_glossary(entries, path: Path, project: str) -> None:
-    rows = [{"id": r["id"], "kind": r["kind"], "level": r["level"], "status": r["status"], "surfaces": list(r["surfaces"]), "alias": r["alias"]} for r in entries.orderBy("id").collect()]
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps({"project": project, "entries": rows}, ensure_ascii=False, indent=1), encoding="utf-8")
-
-
-def _lines(spark: SparkSession, path: Path):
-    return confirm.numbered_lines(files.read_documents(spark, str(path)).withColumnRenamed("path", "file"))
-
-
-def run(args: argparse.Namespace, spark: SparkSession) -> int:
-    cfg, home = files.load_config(args.home), args.home
-    if args.command in ("mask", "route"):
-        docs = files.project_of(files.read_documents(spark, args.path), cfg.projects, args.project)
-        project = docs.first()["project"]
-        routed, restore, entities, surfaces = process(docs.select(F.lit(0).cast("long").alias("doc_id"), "text"), *_state(spark, home), _glossary(spark, home, project), cfg)
-        row = routed.select("route", "reasons", "out", "masked", "blocked").first()
-        job = time.strftime("%Y%m%d-%H%M%S-") + secrets.token_hex(3)
-        if not row["blocked"]:
-            files.write_restore(restore, home, job)
-            files.write_snapshot({"entities": entities, "surfaces": surfaces}, home)
-        if args.command == "route" or not row["blocked"]:
-            files.append_audit(router.audit_rows(routed), home)
-        shown = {"route": row["route"], "reasons": row["reasons"], "text": row["out"]} if args.command == "route" else {"text": row["masked"]}
-        print(json.dumps({**shown, "job_id": job}, ensure_ascii=False))
-        return router.EXIT_CODES.get(row["route"], 0) if args.command == "route" else 2 * bool(row["blocked"])
+from maskwright import server
+from maskwright.api import Gate
+from maskwright.operators import bootstrap, confirm, evaluation, glossary, router
+from maskwright.sources import files, providers
+
+#: command: positional and required options.
+COMMANDS = {"mask": ("path",), "route": ("path",), "unmask": ("path", "--job", "--out"), "entities": (), "glossary-check": (), "bootstrap": ("path", "--out"), "apply-review": ("path",), "confirm": (), "audit": (), "check-model": (), "serve": ()}
+
+
+def provider(args: argparse.Namespace, cfg_model: str | None):
+    """What makes the model provider: none with --rules-only or if no model is named."""
+    model = None if args.rules_only else args.model or cfg_model
+    return functools.partial(providers.HttpProvider, model) if model else None
+
+
+def run(args: argparse.Namespace, spark: SparkSession, make=None) -> int:
+    own = Gate(spark, args.home, restricted=args.restricted or args.command == "serve")
+    own.make = make or provider(args, own.cfg.model)
+    show = lambda x: print(json.dumps(x, ensure_ascii=False))
+    if args.command == "mask":
+        got = own.mask_file(args.path, args.project, args.l2_context)
+        show(got)
+        return 2 if got.get("blocked") else 0
+    if args.command == "route":
+        got = own.route_file(args.path, args.project, args.question, args.answer)
+        show(got)
+        return router.EXIT_CODES.get(got["route"], 0)
     if args.command == "unmask":
-        out = Path(args.out)
-        if out.exists() and not args.overwrite:
-            raise FileExistsError(out)
-        answers = files.read_documents(spark, args.path).select(F.lit(0).cast("long").alias("doc_id"), F.col("text").alias("answer"))
-        got = pseudonyms.unmask(answers, files.read_restore(spark, home, args.job), _state(spark, home)[1]).first()
-        out.write_text(got["restored"], encoding="utf-8", newline="")
-        print(json.dumps({"path": str(out), "tokens_in_answer": got["tokens_in_answer"], "unresolved": got["unresolved"]}))
+        answer = files.read_documents(spark, str(own._checked(args.path))).first()["text"]
+        show(own.unmask_to_file(answer, args.job, args.out, args.overwrite))
     elif args.command == "entities":
-        gate.entity_listing(_state(spark, home)[1]).orderBy("token").show(1000, False)
+        show(own.entities())
     elif args.command == "glossary-check":
-        rows = glossary.glossary_frame(spark, _glossary(spark, home, args.project))
+        rows = glossary.glossary_frame(spark, own.glossary(args.project))
         glossary.summary(rows).orderBy("effective_level").show()
         bad = glossary.problems(rows)
         bad.show(1000, False)
         return int(not bad.isEmpty())
     elif args.command == "bootstrap":
-        docs = files.read_folder(spark, args.path).withColumn("doc_id", F.xxhash64("path"))
-        found, _ = bootstrap.bootstrap(docs)
-        listed = found.select(F.lit("review").alias("file"), F.lit(" ").alias("state"), F.row_number().over(Window.orderBy(F.desc("documents"), F.desc("total"), "root")).alias("n"), "title", "kind", F.lit(2).alias("level"), F.lit("").alias("alias"), F.transform("surfaces", lambda x: x["surface"]).alias("surfaces"))
-        row = confirm.render(listed, "C").first()
-        Path(args.out).write_text(row["text"] if row else "", encoding="utf-8")
-    elif args.command in ("apply-review", "confirm"):
-        folder = Path(home) / "projects" / args.project
-        path = folder / "glossary.json"
-        now = files.read_glossary(spark, str(path)) if path.exists() else spark.createDataFrame([], glossary.ENTRY)
-        source = Path(args.path) if args.command == "apply-review" else folder / "pending.md"
-        if args.command == "apply-review":
-            _save_glossary(confirm.apply_review(now, confirm.parse_review(_lines(spark, source))), path, args.project)
-        else:
-            protect, allow, left = confirm.split_pending(confirm.parse_pending(_lines(spark, source)))
-            _save_glossary(confirm.apply_review(now, protect), path, args.project)
-            listed = files.read_allow_list(spark, str(folder / "allow.json")) if (folder / "allow.json").exists() else spark.createDataFrame([], "surface string")
-            names = sorted(r["surface"] for r in confirm.allowed(listed, allow).collect())
-            (folder / "allow.json").write_text(json.dumps(names, ensure_ascii=False, indent=1), encoding="utf-8")
-            row = confirm.render(left).first()
-            source.write_text(row["text"] if row else "", encoding="utf-8")
+        docs = files.read_folder(spark, str(own._checked(args.path))).withColumn("doc_id", F.xxhash64("path"))
+        found, excluded = bootstrap.bootstrap(docs, own.make)
+        row = confirm.render_review(found, excluded).first()
+        own._checked(args.out).write_text(row["text"] if row else "", encoding="utf-8")
+    elif args.command == "apply-review":
+        own.apply_review(args.project, args.path)
+    elif args.command == "confirm":
+        show({"left": own.confirm(args.project)})
     elif args.command == "audit":
-        files.audit_tail(spark, home, args.n).show(args.n, False)
+        files.audit_tail(spark, args.home, args.n).show(args.n, False)
+    elif args.command == "check-model":
+        got = evaluation.connectivity(own.make() if own.make else None)
+        show(got)
+        return int(not got["ok"])
+    elif args.command == "serve":
+        server.serve(lambda: own)
     return 0
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="maskwright")
     p.add_argument("--home", default=str(Path.home() / ".maskwright"))
     p.add_argument("--project")
+    p.add_argument("--model")
+    p.add_argument("--rules-only", action="store_true")
+    p.add_argument("--restricted", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, options in {"mask": ("path",), "route": ("path",), "unmask": ("path", "--job", "--out"), "entities": (), "glossary-check": (), "bootstrap": ("path", "--out"), "apply-review": ("path",), "confirm": (), "audit": ()}.items():
+    for name, options in COMMANDS.items():
         c = sub.add_parser(name)
         for o in options:
             c.add_argument(o, **({"required": True} if o.startswith("--") else {}))
+        if name == "mask":
+            c.add_argument("--l2-context", choices=("keep", "drop"), default="keep")
+        if name == "route":
+            c.add_argument("--question")
+            c.add_argument("--answer")
         if name == "unmask":
             c.add_argument("--overwrite", action="store_true")
         if name == "audit":
             c.add_argument("-n", type=int, default=20)
-    args = p.parse_args(argv)
-    spark = SparkSession.builder.appName("maskwright").getOrCreate()
-    return run(args, spark)
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    return run(args, SparkSession.builder.appName("maskwright").getOrCreate())
 
 
 if __name__ == "__main__":

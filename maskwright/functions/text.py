@@ -61,6 +61,11 @@ def norm(surface: Column) -> Column:
     return F.when(_plain(surface), norm_ascii(surface)).otherwise(_norm_unicode(F.when(~_plain(surface), surface)))
 
 
+def folded(surface: Column) -> Column:
+    """Case folded; plain ASCII never leaves the JVM."""
+    return F.when(_plain(surface), F.lower(surface)).otherwise(_casefold(F.when(~_plain(surface), surface)))
+
+
 def units(surface: Column) -> Column:
     """Parts of a term: cut at joints and where the letter case tells a new word."""
     parts = F.split(F.regexp_replace(surface, r"(?U)^\s+|\s+$", ""), r"(?U)[\s_\-・·.]+")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.spans import let
+
 #: A token ([TYPE_01], [TYPE_001], [TYPE_01: description]), a token a writer has mangled, and the token types.
 TOKEN = r"\[([A-Z_]+)_(\d{2,})(?::[^\[\]\n]{0,80})?\]"
 LOOSE_TOKEN = r"(?:[\[【［「〔(]\s*)?([A-Z]+(?:_[A-Z]+)*)[\s_＿]?(\d{1,4})(?:\s*[\]】］」〕)])?"
@@ -42,12 +44,13 @@ def make_token(kind: Column, n: Column, width: int = 3) -> Column:
 
 def splice(text: Column, spans: Column, shown) -> Column:
     """The text with each span (disjoint, by place) replaced by ``shown(span)``."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), shown(x)).alias("out"))
+    def pieces(own: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        parts = F.transform(own, lambda x, i: F.concat(F.substr(text, after(i) + 1, x["start"] - after(i)), shown(x)))
+        return F.concat(F.array_join(parts, ""), F.substr(text, after(F.size(own)) + 1, F.length(text)))
 
-    return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, let(spans, pieces)).otherwise(text)
 
 
 def _each(text: Column, pattern: str, fix) -> Column:

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import key
+from maskwright.functions.text import folded, key
 from maskwright.functions.tokens import padded
 from maskwright.operators.glossary import KINDS
+from maskwright.plans.staging import numbered
 
 #: Headings and fields of the two checklists, as they stand in files written before.
 PENDING_HEAD = r"^## \[(x|X|o|O| )\] P(\d+) · (.+)$"
@@ -71,13 +72,31 @@ def render(checklist: DataFrame, letter: str = "P") -> DataFrame:
     return checklist.withColumn("part", item_text(letter)).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n").alias("text"))
 
 
+def render_review(found: DataFrame, excluded: DataFrame) -> DataFrame:
+    """text: the proposals of a bootstrap as one checklist, most documents first, and the excluded ones in their own section.
+    One file that a person reads, so it is put together in one row."""
+    rank = lambda: F.struct((-F.col("documents")).alias("d"), (-F.col("total")).alias("t"), F.col("root").alias("r"))
+    surfaces = F.transform(bootstrap_order(F.col("surfaces")), lambda x: x["surface"])
+    rows = found.select(F.struct(rank().alias("at"), F.col("title").alias("title"), F.col("kind").alias("kind"), F.get("descriptions", F.lit(0)).alias("alias"), surfaces.alias("surfaces")).alias("x"))
+    listed = rows.agg(F.array_sort(F.collect_list("x")).alias("items"))
+    item = lambda x, i: F.concat_ws("\n", F.concat(F.lit("## [ ] C"), padded(i + 1, 3), F.lit(" · "), x["title"]), F.concat(F.lit("- kind: "), x["kind"]), F.lit("- level: 2"), F.concat(F.lit("- 설명: "), F.coalesce(x["alias"], F.lit(""))), F.concat(F.lit("- 표기: "), F.array_join(x["surfaces"], " | ")), F.lit(""))
+    gone = excluded.agg(F.array_sort(F.collect_list("title")).alias("gone"))
+    section = F.when(F.size("gone") > 0, F.concat(F.lit("\n" + EXCLUDED_HEAD + "\n"), F.array_join(F.transform("gone", lambda t: F.concat(F.lit("- [ ] "), t)), "\n"), F.lit("\n"))).otherwise("")
+    return listed.crossJoin(gone).select(F.concat(F.array_join(F.transform("items", item), "\n"), section).alias("text"))  # one row each
+
+
+def bootstrap_order(surfaces: F.Column) -> F.Column:
+    """Spellings (surface, n, ord) by falling count, then in their order."""
+    sort = lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).otherwise(F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
+    return F.array_sort(surfaces, sort)
+
+
 def add_pending(pending: DataFrame, found: DataFrame) -> DataFrame:
     """``pending`` with an item for each suspect (surface, ord, kind, alias) whose key no pending spelling has, numbered on."""
     have = pending.select(F.explode("surfaces").alias("s")).select(key(F.col("s")).alias("key")).distinct()
     new = found.withColumn("key", key(F.col("surface"))).join(have, "key", "left_anti").groupBy("key").agg(F.min(F.struct("ord", "surface", "kind", "alias")).alias("x")).select("x.*")
     top = pending.agg(F.coalesce(F.max("n"), F.lit(0)).alias("top"), F.coalesce(F.max("file"), F.lit("pending")).alias("file"))
-    turn = F.row_number().over(Window.orderBy("ord", "surface"))  # the suspects of one document, which a person is to review
-    rows = new.withColumn("turn", turn).crossJoin(F.broadcast(top)).select("file", (F.col("top") + F.col("turn")).cast("long").alias("item"), F.lit(" ").alias("state"), (F.col("top") + F.col("turn")).cast("int").alias("n"), F.col("surface").alias("title"), "kind", F.lit(2).alias("level"), "alias", F.array("surface").alias("surfaces"))
+    rows = numbered(new.withColumn("one", F.lit(0)), "one", ["ord", "surface"], "turn").crossJoin(F.broadcast(top)).select("file", (F.col("top") + F.col("turn")).cast("long").alias("item"), F.lit(" ").alias("state"), (F.col("top") + F.col("turn")).cast("int").alias("n"), F.col("surface").alias("title"), "kind", F.lit(2).alias("level"), "alias", F.array("surface").alias("surfaces"))
     return pending.withColumn("item", F.col("item").cast("long")).unionByName(rows)
 
 
@@ -97,8 +116,8 @@ def apply_review(glossary: DataFrame, chosen: DataFrame) -> DataFrame:
     An item that shares a spelling (any case) with an entry adds its other spellings to it, the first such spelling deciding;
     any other becomes the next confirmed entry of its kind. No entry owns a spelling that another has.
     """
-    owner = glossary.select("id", F.explode("surfaces").alias("s")).groupBy(F.lower("s").alias("low")).agg(F.max("id").alias("owner"))
-    spelt = chosen.select("file", "item", F.posexplode("surfaces").alias("pos", "s")).withColumn("low", F.lower("s")).join(owner, "low", "left")
+    owner = glossary.select("id", F.explode("surfaces").alias("s")).groupBy(folded(F.col("s")).alias("low")).agg(F.max("id").alias("owner"))
+    spelt = chosen.select("file", "item", F.posexplode("surfaces").alias("pos", "s")).withColumn("low", folded(F.col("s"))).join(owner, "low", "left")
     hit = spelt.groupBy("file", "item").agg(F.min_by("owner", F.when(F.col("owner").isNotNull(), F.col("pos"))).alias("owner"))
     more = spelt.filter(F.col("owner").isNull()).drop("owner").join(hit.filter("owner is not null"), ["file", "item"]).groupBy(F.col("owner").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "pos", "s"))), lambda x: x["s"]).alias("more"))
     kept = glossary.join(more, "id", "left").select("id", "kind", "level", "status", F.array_distinct(F.concat("surfaces", F.coalesce("more", F.array().cast("array<string>")))).alias("surfaces"), "alias")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.structure import code_names, title_names
 from maskwright.functions.text import clean_surface, key, sha16
 from maskwright.functions.tokens import has_token
+from maskwright.operators import bootstrap
 from maskwright.operators.gate import GateConfig
 
 ROUTES = ("cloud_raw", "cloud_masked", "needs_confirmation", "local_only", "block")
@@ -27,6 +31,25 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", key(F.col("surface"))).filter(F.col("key") != "").groupBy("doc_id", "key").agg(F.min_by("surface", "ord").alias("surface"))
 
 
+def proposed(docs: DataFrame, make: Callable | None = None) -> DataFrame:
+    """doc_id, key, surface, kind, alias: project-like terms of each document. Code and title-case names count unless the
+    provider knows them as public; what the provider itself proposes counts, public or not."""
+    found = candidates(docs).select("doc_id", "key", "surface", F.lit("TERM").alias("kind"), F.lit("").alias("alias"), F.lit(1).alias("rank"))
+    if make is None:
+        return found.drop("rank")
+    judged = bootstrap.public_terms(found.select(F.col("surface").alias("title")), make).filter("public").select(F.col("title").alias("surface"))
+    model = bootstrap.model_terms(docs, make).filter(F.col("key") != "").select("doc_id", "key", "surface", "kind", F.col("description").alias("alias"), F.lit(0).alias("rank"))
+    every = found.join(judged, "surface", "left_anti").unionByName(model)
+    return every.groupBy("doc_id", "key").agg(F.min(F.struct("rank", "surface", "kind", "alias")).alias("x")).select("doc_id", "key", "x.surface", "x.kind", "x.alias")
+
+
+def find_suspects(docs: DataFrame, glossary: DataFrame, allow: DataFrame, restore: DataFrame, make: Callable) -> DataFrame:
+    """doc_id, key, surface, kind, alias of the terms in docs (doc_id, text) that neither the glossary (surfaces) nor the allow list
+    (surface) knows and that are not masked already (restore: doc_id, surface)."""
+    known = glossary.select(F.explode("surfaces").alias("surface")).unionByName(allow.select("surface")).select(key(F.col("surface")).alias("key")).filter(F.col("key") != "")
+    return suspects(proposed(docs, make), known, restore.select("doc_id", key(F.col("surface")).alias("key")).distinct())
+
+
 def suspects(found: DataFrame, known: DataFrame, masked: DataFrame) -> DataFrame:
     """Candidates (doc_id, key, surface) that no known key (key) and no masked surface of their document (doc_id, key) covers.
 
@@ -71,14 +94,36 @@ def outgoing(routed: DataFrame) -> DataFrame:
     return routed.withColumn("out", F.when(F.col("route") == "cloud_raw", F.col("text")).when(F.col("route") == "cloud_masked", F.col("masked")).otherwise(F.lit("")))
 
 
-def audit_rows(routed: DataFrame) -> DataFrame:
+def audit_rows(routed: DataFrame, project: str | None = None, job_id: str | None = None, via: str | None = None) -> DataFrame:
     """One row for each decision; hashes, counts and reasons only, never text, terms or file names."""
-    source = F.coalesce("source_hash", sha16(F.col("text"))) if "source_hash" in routed.columns else sha16(F.col("text"))
+    own = lambda c, otherwise: F.col(c) if c in routed.columns else otherwise
+    leaves = F.col("route") == "cloud_masked"
     return routed.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "route", source.alias("source"), F.length("text").cast("long").alias("chars_in"), F.length("out").cast("long").alias("chars_out"),
-        "reasons", F.col("n_suspects").cast("long").alias("suspects"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "route", F.coalesce(own("source_hash", F.lit(None).cast("string")), sha16(F.col("text"))).alias("source"), F.lit(project).cast("string").alias("project"),
+        F.length("text").cast("long").alias("chars_in"), F.length("out").cast("long").alias("chars_out"), F.when(leaves, own("counts", F.lit(None).cast("map<string,bigint>"))).alias("counts"), "reasons",
+        F.when(F.col("route").isin("cloud_raw", "cloud_masked"), F.lit(job_id)).cast("string").alias("job_id"), own("local_answer", F.lit(False)).alias("local_answer"), F.col("n_suspects").cast("long").alias("suspects"), F.lit(via).cast("string").alias("via"),
     )
 
 
+def span_counts(spans: Column) -> Column:
+    """The number of spans of each type, as a map."""
+    kinds = F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["type"])))
+    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(spans, lambda x: x["type"] == k)).cast("long")))
+
+
+def local_answers(routed: DataFrame, question: str, make: Callable) -> DataFrame:
+    """doc_id, answer: what the local model says to ``question`` about each document that must not leave; it reads the first
+    LOCAL_CHARS characters (the limit is the feature) and says so where that is not all."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make()
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"], "answer": [provider.answer(t, question) + note for t, note in zip(f["text"], f["note"], strict=True)]})
+
+    note = F.when(F.length("text") > LOCAL_CHARS, f"\n\n(only the first {LOCAL_CHARS} characters were read)").otherwise("")
+    held = routed.filter("route = 'local_only'").select("doc_id", F.substring("text", 1, LOCAL_CHARS).alias("text"), note.alias("note"))
+    return held.mapInPandas(run, "doc_id long, answer string")
+
+
 def audit_rollup(audit: DataFrame) -> DataFrame:
     return audit.groupBy("route").agg(F.count("*").alias("documents"), F.sum("chars_in").alias("chars_in"), F.sum("chars_out").alias("chars_out"))

@@ -316,7 +316,7 @@ def order_groups(spark: SparkSession, d: str) -> DataFrame:
 def gate_documents(spark: SparkSession, d: str) -> DataFrame:
     """All documents analysed, masked and routed: one row each."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    routed, _, _, _ = ingest.process(docs, *pseudonyms.empty_state(spark), glossary.entries(GLOSSARY))
+    routed = ingest.process(docs, *pseudonyms.empty_state(spark), glossary.entries(GLOSSARY)).routed
     return routed.select("doc_id", "route", "n_spans", "masked_chars", F.length("out").cast("long").alias("chars_out"))
 
 

@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a single-machine session that names none gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="maskwright-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir`` (a folder all executors share); cuts the lineage of iterative plans."""
+    """``df`` written as Parquet to the shared folder and read back: lineage ends there, and later plans read only the columns
+    they need."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="maskwright-")
-        sc.setCheckpointDir(f"{named}/{uuid.uuid4().hex}")
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/maskwright/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(keys: DataFrame, group: str, order: list[str], name: str = "seq", buckets: int = 1024) -> DataFrame:
-    """``keys`` with 1, 2, ... within each ``group`` in the order of ``order``, whose first column is a whole number.
+    """``keys`` with 1, 2, ... within each ``group`` in the order of ``order``.
 
-    One task per group would be one task for most rows. Instead the first order column is cut into equal ranges; each range
-    is numbered by itself and starts where the counts of the ranges before it end (at most ``buckets`` counts per group).
+    One task per group would be one task for most rows. Instead the rows are sorted by range: Spark samples the order and cuts
+    it into partitions of about as many rows, whatever its distribution and types; each partition counts its rows by group, and
+    a row's number is its turn in its partition after the counts of the partitions before. There are at most ``buckets``
+    partitions, and of the counts (a row for each group and partition that has rows) none is collected.
     """
-    low, high = keys.agg(F.min(order[0]), F.max(order[0])).first()
-    width = max(1, (int(high or 0) - int(low or 0)) // buckets + 1)
-    ranged = keys.withColumn("_range", F.floor((F.col(order[0]) - F.lit(int(low or 0))) / width))
+    parts = max(1, min(buckets, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # written once: a partition's number and its rows must not be drawn again by another evaluation
+    ranged = settle(keys.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
-    return ranged.withColumn("_row", inside).join(F.broadcast(starts), [group, "_range"]).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_start", "_row", "_range")
+    starts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
+    met = ranged.withColumn("_row", inside).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_part")))
+    return met.withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_start", "_row", "_range", "_group", "_part")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from maskwright.functions.rules import RULES, detect, rule_places
 from maskwright.functions.spans import resolve
 from maskwright.operators import gate, glossary, pseudonyms, tidy
 from maskwright.plans.rule_queries import table
+from maskwright.plans.staging import settle
 from maskwright.sources import files
 
 QUERIES, ORACLES = {}, {}
@@ -176,7 +177,7 @@ def l3_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _emails(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", resolve(detect(F.col("text"), ["email"])).alias("spans"))
+    return settle(table(spark, d, "documents").select("doc_id", "text", resolve(detect(F.col("text"), ["email"])).alias("spans")))
 
 
 _NUMBERED = rf"""e AS (SELECT doc_id, k, x[k] AS s, len(array_to_string(p[1:k], '')) + coalesce(len(array_to_string(x[1:k - 1], '')), 0) AS place FROM

@@ -32,6 +32,7 @@ class Provider(Protocol):
     def translations(self, latin: list[str], other: list[str]) -> list[tuple[int, int]]: ...
     def generalize(self, sentence: str) -> str: ...
     def answer(self, text: str, question: str) -> str: ...
+    def attack(self, text: str, target: str) -> str: ...
     def translate(self, text: str, target: str) -> str: ...
     def summarize(self, text: str, lang: str) -> str: ...
 
@@ -71,6 +72,9 @@ class FixtureProvider:
     def answer(self, text: str, question: str) -> str:
         return f"{question}\n{text[:200]}"
 
+    def attack(self, text: str, target: str) -> str:
+        return " ".join(x for x in text.split("\n") if target in x)
+
     def translate(self, text: str, target: str) -> str:
         return text
 
@@ -131,6 +135,9 @@ class HttpProvider:
     def answer(self, text: str, question: str) -> str:
         return self._ask("Answer the request from the document, in its language.", f"{text[:12000]}\n\n---\n{question}", temperature=0.2).strip()
 
+    def attack(self, text: str, target: str) -> str:
+        return self._ask("Names are hidden behind tokens. From the documents alone say what the target is, what it does in steps and figures, and guess its name.", f"{text}\n\n---\ntarget: {target}").strip()
+
     def translate(self, text: str, target: str) -> str:
         return self._ask(f"Translate into {target}. Copy tokens in square brackets exactly.", text, temperature=0.2).strip()
 
@@ -138,6 +145,34 @@ class HttpProvider:
         return self._ask(f"Summarise in {lang} in three to five points. Copy tokens in square brackets exactly.", text, temperature=0.2).strip()
 
 
+#: The baseline model, its threshold, and what its labels are called here.
+GLINER_MODEL, GLINER_THRESHOLD = "urchade/gliner_multi_pii-v1", 0.5
+GLINER_LABELS = {"person": "PERSON", "email": "EMAIL", "phone number": "PHONE", "postal code": "POSTAL", "address": "ADDRESS", "url": "URL", "national id number": "ID_NUMBER", "organization": "ORG"}
+
+
+def labelled_spans(docs: DataFrame, model: Callable[[], object], threshold: float = GLINER_THRESHOLD) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with ``llm_spans`` of a span-labelling model: ``model()`` gives an object with
+    ``predict_entities(text, labels, threshold=...)``, made once for each task."""
+    schema = "doc_id long, found array<struct<start:int,end:int,type:string>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = model()
+        for f in frames:
+            got = ([e for e in made.predict_entities(t, list(GLINER_LABELS), threshold=threshold) if e["label"] in GLINER_LABELS] for t in f["text"])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "found": [[{"start": e["start"], "end": e["end"], "type": GLINER_LABELS[e["label"]]} for e in es] for es in got]})
+
+    spans = F.transform("found", lambda x, i: span(x["start"], x["end"], x["type"], F.lit("llm"), F.lit(1000) + i))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema).filter(F.size("found") > 0).select("doc_id", spans.alias("llm_spans"))
+    return docs.join(found, "doc_id", "left").withColumn("llm_spans", F.coalesce("llm_spans", no_spans()))
+
+
+def gliner() -> object:
+    """The baseline model itself, where its library is installed."""
+    from gliner import GLiNER
+
+    return GLiNER.from_pretrained(GLINER_MODEL)
+
+
 def detected_spans(docs: DataFrame, make: Callable[[], Provider], limit: int = 300) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``llm_spans``: the provider's findings by chunk, all their places, cleaned up."""
     schema = "doc_id long, offset int, chunk string, found array<struct<start:int,end:int,type:string>>"
@@ -168,5 +203,3 @@ def romanized(surfaces: DataFrame, cache: DataFrame, make: Callable[[], Provider
     new = surfaces.select("surface").distinct().join(cache.select("surface"), "surface", "left_anti")
     return cache.select("surface", "family", "given", "nationality").unionByName(new.mapInPandas(run, schema))
 
-
-__all__ = ["DETECTED", "FixtureProvider", "HttpProvider", "Provider", "detected_spans", "romanized", "tidy"]
