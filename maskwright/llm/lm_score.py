@@ -1,7 +1,9 @@
 """Stupid-backoff scores from n-gram counts of the whole corpus.
 
-A word's score is count(context word) / count(context) at the longest order whose n-gram was counted at least ``least`` times
-(order 1: once); each step to a shorter context multiplies by ``backoff``. A document's score is the sum of the logarithms.
+A document is scored by all others: its own n-grams are taken out of the counts, or each would know itself and back-off would
+never happen. A word's score is count(context word) / count(context) at the longest order whose n-gram the others have; each
+step to a shorter context multiplies by ``backoff``. Order 1 divides by the others' words, and a word that they lack counts as
+if they had it once. A document's score is the sum of the logarithms.
 
 Counts are a table partitioned by n-gram hash and the documents' n-grams are joined to it; rows are packed so that the join
 fits the disk. Documents are gathered into blocks of about ``block_bytes`` of text. A block's distinct n-grams of an order are
@@ -159,35 +161,47 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part"), "block": table.column("block"), "ngram": table.column("ngram"), "counts": pa.array(out, pa.binary())})
 
 
-def _score(left: pa.Table, right: pa.Table, order: int, total: int, backoff: float, least: int) -> pa.Table:
+def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each n-gram how often its own document has it."""
+    order = np.lexsort((h, doc))
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    group = np.cumsum(fresh) - 1
+    out = np.empty(len(h), dtype=np.int64)
+    out[order] = np.bincount(group)[group] if len(h) else 0
+    return out
+
+
+def _score(left: pa.Table, right: pa.Table, order: int, total: int, backoff: float) -> pa.Table:
     if not left.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
     ids = pa.ipc.open_stream(left.column("doc_id")[0].as_py()).read_all().column("doc_id")
     texts = _texts(left.column("sizes")[0].as_py(), left.column("texts")[0].as_py())
     doc, grams = ngrams(texts, order)
     answers = sorted(zip(right.column("ngram").to_pylist(), right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True), key=lambda x: x[:2])
+    words = np.bincount(doc, minlength=len(texts))
+    others = np.maximum(total - words, 1).astype(float)[doc]
     score = np.zeros(len(doc))
-    before = np.zeros(len(doc))  # count of the shorter n-gram that ends at each word
+    before = np.zeros(len(doc))  # what the others have of the shorter n-gram that ends at each word
     for n, (h, at) in enumerate(grams, 1):
         if not len(h):
             continue
-        counts = np.concatenate([_unpack(c) for m, _, c in answers if m == n]).astype(float)
+        counts = np.concatenate([_unpack(c) for m, _, c in answers if m == n]).astype(np.int64)
         _, inverse = np.unique(h, return_inverse=True)
-        mine = counts[inverse]
+        elsewhere = (counts[inverse] - _own(h, doc[at])).astype(float)
         now = np.zeros(len(doc))
-        now[at] = mine
+        now[at] = elsewhere
         if n == 1:
-            score[at] = np.log(mine / total)
+            score[at] = np.log(np.maximum(elsewhere, 1) / others[at])
         else:
             score[at] += np.log(backoff)
-            seen = at[mine >= least]
+            seen = at[elsewhere > 0]
             score[seen] = np.log(now[seen] / before[seen - 1])
         before = now
-    words = np.bincount(doc, minlength=len(texts))
     return pa.table({"doc_id": ids, "n_words": pa.array(words.astype(np.int64)), "log_score": pa.array(np.bincount(doc, weights=score, minlength=len(texts)))})
 
 
-def score(documents: DataFrame, order: int = 2, backoff: float = 0.4, least: int = 2, block_bytes: int = 8 << 20, partition_words: int = 3_000_000) -> DataFrame:
+def score(documents: DataFrame, order: int = 3, backoff: float = 0.4, block_bytes: int = 8 << 20, partition_words: int = 3_000_000) -> DataFrame:
     """doc_id, n_words, log_score (natural logarithm, summed), mean_log_score for each row of (doc_id, text)."""
     spark = documents.sparkSession
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -198,5 +212,5 @@ def score(documents: DataFrame, order: int = 2, backoff: float = 0.4, least: int
     answers = runs.groupBy("part").applyInArrow(_answer, "part int, block string, ngram int, counts binary")
     fields = "doc_id long, n_words long, log_score double"
     met = gathered.select("block", "doc_id", "sizes", "texts").groupBy("block").cogroup(answers.groupBy("block"))
-    scored = met.applyInArrow(functools.partial(_score, order=order, total=total, backoff=backoff, least=least), fields)
+    scored = met.applyInArrow(functools.partial(_score, order=order, total=total, backoff=backoff), fields)
     return scored.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

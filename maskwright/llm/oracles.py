@@ -54,10 +54,15 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 
 LM_SCORE = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, w[k] AS x, CASE WHEN k > 1 THEN w[k - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
-one AS (SELECT x, count(*) AS c FROM t GROUP BY x), two AS (SELECT p, x, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, x), n AS (SELECT count(*) AS total FROM t),
-s AS (SELECT t.doc_id, sum(CASE WHEN two.c >= 2 THEN ln(two.c / prior.c) ELSE ln(one.c / total) + CASE WHEN t.p IS NULL THEN 0 ELSE ln(0.4) END END) AS score
-  FROM t CROSS JOIN n JOIN one ON t.x = one.x LEFT JOIN two ON t.p = two.p AND t.x = two.x LEFT JOIN one AS prior ON t.p = prior.x GROUP BY t.doc_id)
+t AS (SELECT doc_id, k, w[k] AS z, CASE WHEN k > 1 THEN w[k - 1] END AS y, CASE WHEN k > 2 THEN w[k - 2] END AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+one AS (SELECT *, sum(o) OVER (PARTITION BY z) AS c FROM (SELECT doc_id, z, count(*) AS o FROM t GROUP BY ALL)),
+two AS (SELECT *, sum(o) OVER (PARTITION BY y, z) AS c FROM (SELECT doc_id, y, z, count(*) AS o FROM t WHERE y IS NOT NULL GROUP BY ALL)),
+three AS (SELECT *, sum(o) OVER (PARTITION BY x, y, z) AS c FROM (SELECT doc_id, x, y, z, count(*) AS o FROM t WHERE x IS NOT NULL GROUP BY ALL)),
+n AS (SELECT doc_id, greatest(sum(count(*)) OVER () - count(*), 1) AS others FROM t GROUP BY doc_id),
+e AS (SELECT t.doc_id, t.k, t.x, t.y, a.c - a.o AS c1, b.c - b.o AS c2, g.c - g.o AS c3, pa.c - pa.o AS p1, pb.c - pb.o AS p2, n.others FROM t JOIN n USING (doc_id) JOIN one a ON a.doc_id = t.doc_id AND a.z = t.z
+  LEFT JOIN two b ON b.doc_id = t.doc_id AND b.y = t.y AND b.z = t.z LEFT JOIN three g ON g.doc_id = t.doc_id AND g.x = t.x AND g.y = t.y AND g.z = t.z
+  LEFT JOIN one pa ON pa.doc_id = t.doc_id AND pa.z = t.y LEFT JOIN two pb ON pb.doc_id = t.doc_id AND pb.y = t.x AND pb.z = t.y),
+s AS (SELECT doc_id, sum(CASE WHEN c3 > 0 THEN ln(c3 / p2) ELSE CASE WHEN x IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN c2 > 0 THEN ln(c2 / p1) ELSE CASE WHEN y IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(c1, 1) / others) END END) AS score FROM e GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
 """
 
