@@ -59,9 +59,10 @@ def suspects(found: DataFrame, known: DataFrame, masked: DataFrame) -> DataFrame
     left = found.join(known.select("key").distinct(), "key", "left_anti")
     near = masked.filter(F.col("key") != "").select("doc_id", F.col("key").alias("m")).groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
     open_ = left.join(near, "doc_id", "left").filter(~F.coalesce(F.exists("ms", lambda m: F.contains("key", m) | F.contains(m, F.col("key"))), F.lit(False))).drop("ms")
-    n = F.length("key")
+    n, longest = F.length("key"), known.agg(F.max(F.length("key"))).first()[0] or 0
     starts = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.greatest(n - i + 1, F.lit(3))), lambda w: F.substr("key", i, w))))
+    # no part is longer than the longest known key, however long a candidate is
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.greatest(F.least(n - i + 1, F.lit(longest)), F.lit(3))), lambda w: F.substr("key", i, w))))
     holds = open_.select("key").distinct().select("key", F.explode(F.array_distinct(parts)).alias("part")).join(known.filter(F.length("key") >= 3).select(F.col("key").alias("part")).distinct(), "part").select("key").distinct()
     return open_.join(holds, "key", "left_anti")
 

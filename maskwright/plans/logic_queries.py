@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import text
+from maskwright.functions.tokens import splice
 from maskwright.operators import bootstrap, confirm, evaluation, gate, glossary, linking, metrics, pseudonyms, router
 from maskwright.plans.rule_queries import EMAIL, table
-from maskwright.plans.staging import components, numbered
+from maskwright.plans.staging import components, numbered, settle, shared_folder
 from maskwright.plans.text_queries import GLOSSARY, VALUES
 from maskwright.sources import files, providers
 from maskwright.streaming import ingest
@@ -65,12 +67,10 @@ def masked_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.round(router.masked_ratio(found, F.length("text")), 6).alias("ratio"))
 
 
-@query("project_of", "SELECT page_id, CASE WHEN starts_with(path, '/h/blog.') THEN 'blogs' WHEN path = '/h/m' OR starts_with(path, '/h/m/') THEN 'mobile' END AS project FROM (SELECT page_id, '/h/' || replace(regexp_extract(url, '://([^/?#]*)', 1), 'm.', 'm/') AS path FROM pages)")
+@query("project_of", "SELECT page_id, CASE WHEN starts_with(path, '/h/blog/') THEN 'blogs' WHEN path = '/h/m' OR starts_with(path, '/h/m/') THEN 'mobile' END AS project FROM (SELECT page_id, '/h/' || replace(replace(regexp_extract(url, '://([^/?#]*)', 1), 'blog.', 'blog/'), 'm.', 'm/') AS path FROM pages)")
 def project_of(spark: SparkSession, d: str) -> DataFrame:
-    path = F.concat(F.lit("/h/"), F.replace(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("m."), F.lit("m/")))
-    rows = table(spark, d, "pages").select("page_id", path.alias("path"))
-    blogs = [r["p"] for r in rows.filter(F.col("path").startswith("/h/blog.")).select(F.regexp_extract("path", "^(/h/[^/]*)", 1).alias("p")).distinct().orderBy("p").collect()]
-    return files.project_of(rows, {"blogs": blogs, "mobile": ["/h/m"]}).select("page_id", "project")
+    path = F.concat(F.lit("/h/"), F.replace(F.replace(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("blog."), F.lit("blog/")), F.lit("m."), F.lit("m/")))
+    return files.project_of(table(spark, d, "pages").select("page_id", path.alias("path")), {"blogs": ["/h/blog"], "mobile": ["/h/m"]}).select("page_id", "project")
 
 
 @query("allowed_path", "SELECT n_nationkey, n_regionkey IN (0, 1, 2) AND NOT (n_regionkey = 1) AS allowed FROM nation")
@@ -80,29 +80,31 @@ def allowed_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------------
-_WORDS = "c AS (SELECT DISTINCT doc_id, regexp_replace(lower(x), '[^a-z]', '', 'g') AS key FROM (SELECT doc_id, unnest(string_split(text, ' ')[1:12]) AS x FROM documents)), cc AS (SELECT * FROM c WHERE length(key) >= 2), k AS (SELECT DISTINCT regexp_replace(lower(x), '[^a-z]', '', 'g') AS key FROM (SELECT unnest(string_split(text, ' ')[1:3]) AS x FROM documents WHERE doc_id % 50 = 0)), m AS (SELECT DISTINCT doc_id, key FROM cc WHERE doc_id % 3 = 0 AND length(key) > 9)"
+_FOLD = "regexp_replace(lower({}), '[^a-z]', '', 'g')"
+_WORDS = f"c AS (SELECT DISTINCT doc_id, {_FOLD.format('x')} AS key FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS x FROM documents)), cc AS (SELECT * FROM c WHERE length(key) >= 2), k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), m AS (SELECT DISTINCT doc_id, key FROM cc WHERE length(key) > 14)"
 
 
 @query("suspects", f"WITH {_WORDS} SELECT doc_id, key FROM cc WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = cc.key OR (length(k.key) >= 3 AND contains(cc.key, k.key))) AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = cc.doc_id AND (contains(m.key, cc.key) OR contains(cc.key, m.key)))")
 def suspects(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    """All words of all documents, against the words of part names as known terms and a document's longest words as masked."""
     fold = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    words = lambda n: F.explode(F.slice(F.split("text", " "), 1, n)).alias("x")
-    c = docs.select("doc_id", words(12)).select("doc_id", fold("x").alias("key")).filter(F.length("key") >= 2).distinct()
-    known = docs.filter("doc_id % 50 = 0").select(words(3)).select(fold("x").alias("key")).distinct()
-    return router.suspects(c, known, c.filter("doc_id % 3 = 0 and length(key) > 9"))
+    c = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("x")).select("doc_id", fold("x").alias("key")).filter(F.length("key") >= 2).distinct()
+    known = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("key")).distinct()
+    return router.suspects(settle(c), known, c.filter("length(key) > 14"))
 
 
-@query("candidates")
+@query("candidates", "SELECT p_partkey AS doc_id, replace(p_name, ' ', '') AS key, upper(p_name[1:1]) || regexp_extract(p_name, '^.([^ ]*) ', 1) || ' ' || upper(regexp_extract(p_name, ' (.)', 1)) || regexp_extract(p_name, ' .(.*)$', 1) AS surface FROM part UNION ALL SELECT p_partkey, 'runx' || p_size, 'run_x_' || p_size FROM part")
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return router.candidates(table(spark, d, "documents"))
+    t = F.concat(F.lit("call run_x_"), F.col("p_size").cast("string"), F.lit(" of the "), F.initcap("p_name"), F.lit(", not A, b or run."))
+    return router.candidates(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), t.alias("text")))
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, o_orderkey % 700 + 500 AS b FROM orders WHERE o_orderkey % 37 = 0),
-s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS node, u AS root FROM s UNION SELECT s.v, r.root FROM r JOIN s ON s.u = r.node WHERE r.root < s.v)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
+@query("components", "WITH e AS (SELECT o_custkey AS a, o_orderkey + 10000000 AS b FROM orders), r AS (SELECT b AS node, a AS root FROM e) SELECT node, root FROM r UNION SELECT root, root FROM r")
 def connected(spark: SparkSession, d: str) -> DataFrame:
-    return components(table(spark, d, "orders").filter("o_orderkey % 37 = 0").select((F.col("o_custkey") % 500).alias("a"), (F.col("o_orderkey") % 700 + 500).alias("b")).distinct())
+    """Each customer with all its orders, which are linked in a chain and not with the customer alone."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), (F.col("o_orderkey") + 10_000_000).alias("o"))
+    before = F.lag("o").over(Window.partitionBy("c").orderBy("o"))
+    return components(orders.select(F.coalesce(before, F.col("c")).cast("long").alias("a"), F.col("o").cast("long").alias("b")))
 
 
 @query("numbered", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS seq FROM customer")
@@ -110,20 +112,27 @@ def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
     return numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"]).select("c_custkey", "seq")
 
 
-@query("link_persons")
+_PERSONS = """r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN -1 ELSE c_custkey % 18 END AS f, CASE WHEN c_custkey % 13 = 0 THEN -1 WHEN c_custkey % 18 >= 16 AND c_custkey % 11 <> 0 THEN 0 ELSE c_nationkey % 5 END AS g FROM customer),
+n AS (SELECT min(id) AS id, f, g FROM r GROUP BY f, g), whole AS (SELECT *, min(id) OVER (PARTITION BY f // 2, g) AS root FROM n WHERE f >= 0 AND g >= 0)"""
+
+
+@query("link_persons", f"""WITH {_PERSONS} SELECT id, root FROM whole UNION ALL SELECT id, id FROM n WHERE f < 0 AND g < 0
+UNION ALL SELECT id, coalesce((SELECT CASE WHEN count(DISTINCT root) = 1 THEN min(root) END FROM whole w WHERE w.f // 2 = n.f // 2), id) FROM n WHERE f >= 0 AND g < 0
+UNION ALL SELECT id, coalesce((SELECT CASE WHEN count(DISTINCT root) = 1 THEN min(root) END FROM whole w WHERE w.g = n.g), id) FROM n WHERE f < 0 AND g >= 0""")
 def link_persons(spark: SparkSession, d: str) -> DataFrame:
-    """Names made from family groups and syllables by customer key; full names in both orders, and lone parts."""
-    fams = [g[k] for g in text.FAMILY_GROUPS for k in (0, 1)]
-    f = F.element_at(F.array(*map(F.lit, fams)), (F.col("c_custkey") % len(fams) + 1).cast("int"))
-    g = F.concat(F.element_at(F.array(*map(F.lit, ["seo", "haru", "min", "kazu", "jin"])), (F.col("c_nationkey") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ["yun", "to", "ho"])), (F.col("c_custkey") % 3 + 1).cast("int")))
-    names = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 == 0, "").otherwise(f).alias("family"), F.when(F.col("c_custkey") % 13 == 0, "").otherwise(g).alias("given"))
+    """Names made from two spellings of nine family names and five given names; lone parts; swapped slots."""
+    k = F.col("c_custkey")
+    f = F.element_at(F.array(*[F.lit(g[i]) for g in text.FAMILY_GROUPS[:9] for i in (0, 1)]), (k % 18 + 1).cast("int"))
+    g = F.element_at(F.array(*map(F.lit, ["seora", "haruto", "minjae", "kazuo", "dowon"])), (F.when((k % 18 >= 16) & (k % 11 != 0), 0).otherwise(F.col("c_nationkey") % 5) + 1).cast("int"))
+    names = table(spark, d, "customer").select(k.alias("id"), F.when(k % 11 == 0, "").otherwise(f).alias("family"), F.when(k % 13 == 0, "").otherwise(g).alias("given"))
     ids = names.groupBy("family", "given").agg(F.min("id").alias("id"))
-    return linking.link(ids)
+    swap = (F.col("id") % 2 == 0) & (F.col("family") != "") & (F.col("given") != "")
+    return linking.link(ids.select("id", F.when(swap, F.col("given")).otherwise(F.col("family")).alias("family"), F.when(swap, F.col("family")).otherwise(F.col("given")).alias("given")))
 
 
-@query("exposure", r"SELECT doc_id, len(regexp_extract_all(lower(' ' || regexp_replace(text, '[^\x00-\x7F]', '.', 'g') || ' '), 'theredth|thestion'))::BIGINT >= 0 AS counted FROM documents")
+@query("exposure", r"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w IN ('thanedble', 'worthless', 'und', 'the')))::BIGINT AS exposures FROM documents")
 def exposure(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.exposure(table(spark, d, "documents"), ["theredth", "thestion"]).select("doc_id", (F.col("exposures") >= 0).alias("counted"))
+    return metrics.exposure(table(spark, d, "documents"), ["thanedble", "Worthless", "und", "the"])
 
 
 @query("exposure_counts", "SELECT p_partkey AS doc_id, ((CASE WHEN ends_with(p_name, ' ring') THEN 2 ELSE 0 END) + (CASE WHEN starts_with(p_name, 'red ') THEN 2 ELSE 0 END))::BIGINT AS exposures FROM part")
@@ -153,12 +162,15 @@ def span_scores(spark: SparkSession, d: str) -> DataFrame:
     return metrics.score_table(metrics.exact_matches(*_gold_pred(spark, d)))
 
 
-@query("span_overlap")
+@query("span_overlap", """WITH m AS (SELECT l_returnflag AS type, l_partkey % 15 < 10 AND l_linenumber <> 3 AS tp, CASE WHEN l_linenumber = 3 THEN 'X' ELSE l_returnflag END AS p FROM lineitem),
+c AS (SELECT type, tp::INT AS tp, 0 AS fp, (NOT tp)::INT AS fn FROM m UNION ALL SELECT p, 0, 1, 0 FROM m WHERE NOT tp), t AS (SELECT coalesce(type, 'ALL') AS type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY ROLLUP(type))
+SELECT type, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 3) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 3) END AS r, CASE WHEN tp = 0 THEN 0 ELSE round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 3) END AS f FROM t""")
 def span_overlap(spark: SparkSession, d: str) -> DataFrame:
-    gold, pred = _gold_pred(spark, d)
-    pack = lambda df, n: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias(n))
-    empty = F.array().cast("array<struct<start:int,end:int,type:string>>")
-    rows = pack(gold, "gold").join(pack(pred, "pred"), "id", "left").withColumn("pred", F.coalesce("pred", empty))
+    """Labelled spans of ten characters, each in a cell of its own, and predictions moved by 0 to 14 within it."""
+    n = F.col("l_linenumber")
+    at, moved = (n * 100).cast("int"), (n * 100 + F.col("l_partkey") % 15).cast("int")
+    pack = lambda start, kind: F.array_sort(F.collect_list(F.struct(start.alias("start"), (start + 10).alias("end"), kind.alias("type"))))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(pack(at, F.col("l_returnflag")).alias("gold"), pack(moved, F.when(n == 3, "X").otherwise(F.col("l_returnflag"))).alias("pred"))
     return metrics.score_table(metrics.overlap_counts(rows))
 
 
@@ -241,27 +253,31 @@ def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
     return metrics.multiset_difference(rows.select("l_orderkey", "l_returnflag"), rows.filter("l_linenumber < 4").select("l_orderkey", "l_returnflag"))
 
 
-@query("chunk_leaks", "SELECT size::INT AS size, (SELECT sum((length(text) - length(replace(text, 'and', ''))) // 3)::BIGINT FROM documents) AS leaked FROM (VALUES (1500), (300)) AS v(size)")
+@query("chunk_leaks", "SELECT size::INT AS size, (SELECT sum((length(t) - length(replace(t, 'ing', ''))) // 3)::BIGINT FROM (SELECT replace(text, 'and', '*') AS t FROM documents)) AS leaked FROM (VALUES (1500), (300)) AS v(size)")
 def chunk_leaks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return evaluation.chunk_leaks(docs, ["and"], lambda df, size: df.withColumn("masked", F.col("text")))
+    """A detector that knows one of two strings, asked chunk by chunk: the other one leaks at either size."""
 
+    def mask(docs: DataFrame, size: int) -> DataFrame:
+        found = settle(providers.detected_spans(docs, functools.partial(providers.FixtureProvider, entities={"and": "ORG"}), size).withColumn("spans", gate.resolved(F.col("llm_spans"))))
+        return found.select("doc_id", splice(F.col("text"), F.col("spans"), lambda x: F.lit("[ORG]")).alias("masked"))
 
-@query("detection")
-def detection(spark: SparkSession, d: str) -> DataFrame:
-    """Rules against labels made of every third e-mail address of the documents."""
-    from maskwright.functions.rules import rule_places
+    return evaluation.chunk_leaks(settle(table(spark, d, "documents").select("doc_id", "text")), ["and", "ing"], mask)
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
-    gold = docs.withColumn("spans", F.transform(F.filter(rule_places(F.col("text"), "email"), lambda x: F.col("doc_id") % 3 == 0), lambda x: F.struct(x["start"], x["end"], F.lit("EMAIL").alias("type"), F.lit(None).cast("string").alias("entity_id"))))
-    return evaluation.detection(gold, {"rules": evaluation.predictions(docs)})
+
+@query("detection", "SELECT 'rules' AS mode, type, tp, fp, 0::BIGINT AS fn, round(tp / (tp + fp), 3) AS p, 1.0::DOUBLE AS r, round(2 * (tp / (tp + fp)) / (tp / (tp + fp) + 1), 3) AS f FROM (SELECT unnest(['EMAIL', 'ALL']) AS type, count(*) FILTER (o_orderkey % 3 = 0) AS tp, count(*) FILTER (o_orderkey % 3 <> 0) AS fp FROM orders)")
+def detection(spark: SparkSession, d: str) -> DataFrame:
+    """Rules against labels, which miss two of three addresses."""
+    k = F.col("o_orderkey")
+    at = F.array(F.struct(F.lit(5).alias("start"), (F.length(k.cast("string")) + 13).cast("int").alias("end"), F.lit("EMAIL").alias("type"), F.lit(None).cast("string").alias("entity_id")))
+    gold = table(spark, d, "orders").select(k.cast("string").alias("id"), F.concat(F.lit("mail u"), k.cast("string"), F.lit("@ex.com now")).alias("text"), F.when(k % 3 == 0, at).otherwise(F.slice(at, 1, 0)).alias("spans"))
+    return evaluation.detection(gold, {"rules": evaluation.predictions(gold)})
 
 
-@query("leave_one_out")
+@query("leave_one_out", "WITH g AS (SELECT DISTINCT 'TERM_' || (p_size % 7) AS id, replace(p_name, ' ', '') AS key FROM part) SELECT g.id AS dropped, p_partkey AS doc_id, g.key, NOT EXISTS (SELECT 1 FROM g o WHERE o.key = g.key AND o.id <> g.id) AS held FROM part JOIN g ON g.key = replace(p_name, ' ', '')")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    terms = router.candidates(docs).groupBy("key").agg(F.min("doc_id").alias("id")).select(F.concat(F.lit("TERM_"), (F.col("id") % 40).cast("string")).alias("id"), "key")
-    return evaluation.leave_one_out(docs, terms)
+    parts = table(spark, d, "part")
+    terms = parts.select(F.concat(F.lit("TERM_"), (F.col("p_size") % 7).cast("string")).alias("id"), F.replace("p_name", F.lit(" ")).alias("key")).distinct()
+    return evaluation.leave_one_out(parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("the "), F.initcap("p_name"), F.lit(".")).alias("text")), terms)
 
 
 # --- checklists, glossary, bootstrap -------------------------------------------------------------------------------------
@@ -297,12 +313,15 @@ def apply_review(spark: SparkSession, d: str) -> DataFrame:
     return confirm.apply_review(now, new.unionByName(hit)).select("id", "kind", F.array_join("surfaces", "|").alias("surfaces"))
 
 
-@query("bootstrap")
+_TITLE = "upper(p_name[1:1]) || regexp_extract(p_name, '^.([^ ]*) ', 1) || upper(regexp_extract(p_name, ' (.)', 1)) || regexp_extract(p_name, ' .(.*)$', 1)"
+
+
+@query("bootstrap", f"SELECT {_TITLE} AS title, 'TERM' AS kind, count(*) AS documents, (4 * count(*))::BIGINT AS total FROM part GROUP BY p_name UNION ALL SELECT upper(p_type[1:1]) || lower(p_type[2:]) || ' Works', 'TERM', count(*), count(*)::BIGINT FROM part WHERE p_type <> 'ECONOMY' GROUP BY p_type")
 def bootstrap_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Proposals from the title-case and code names of the part table's texts, with public and translated terms by fixture."""
+    """Proposals from the title-case and code names of the part table's texts; one of them is public."""
     t = F.concat(F.lit("Use the "), F.initcap("p_name"), F.lit(" ("), F.replace(F.initcap("p_name"), F.lit(" ")), F.lit(") of "), F.initcap("p_type"), F.lit(" Works.\n"))
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), t.alias("text"))
-    kept, _ = bootstrap.bootstrap(docs, lambda: providers.FixtureProvider(public=frozenset(["Economy Works"])))
+    kept, _ = bootstrap.bootstrap(docs, functools.partial(providers.FixtureProvider, public=frozenset(["Economy Works"])))
     return kept.select("title", "kind", "documents", "total")
 
 
@@ -323,20 +342,23 @@ def gate_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["gate_documents"] = gate_documents
 
 
-@query("link_candidates")
+@query("link_candidates", "SELECT p_partkey AS doc_id, 1 AS ord, CASE WHEN p_partkey % 2 = 0 THEN 'Ann' ELSE 'Bob' END AS surface FROM part UNION ALL SELECT p_partkey, 2, 'Bob' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT NULL, 1, 'Cleo' UNION ALL SELECT NULL, 2, 'Ann'")
 def link_candidates(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    found = providers.detected_spans(docs, lambda: providers.FixtureProvider(entities={"The": "PERSON", "And": "PERSON"}))
-    surfaces = spark.createDataFrame([("[PERSON_001]", "PERSON", "the", "The", 1), ("[PERSON_002]", "PERSON", "kim", "Kim", 2)], pseudonyms.SURFACES)
-    return gate.link_candidates(gate.analyse(found), surfaces)
+    """Names that a detector finds in each document, each once, and the known ones once for all documents."""
+    t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Ann saw the "), "p_name", F.lit("; so did Bob and Ann"))).otherwise(F.concat(F.lit("Bob has the "), "p_name"))
+    docs = settle(table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), t.alias("text")))
+    found = providers.detected_spans(docs, functools.partial(providers.FixtureProvider, entities={"Ann": "PERSON", "Bob": "PERSON"}))
+    surfaces = spark.createDataFrame([("[PERSON_001]", "PERSON", "ann", "Ann", 2), ("[PERSON_002]", "PERSON", "cleo", "Cleo", 1), ("[PERSON_001]", "PERSON", "ann", "Ann", 3), ("[ORG_001]", "ORG", "x", "X", 1)], pseudonyms.SURFACES)
+    return gate.link_candidates(settle(gate.analyse(found)), surfaces)
 
 
 @query("route_stream", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start_at, event_type AS route, count(*) AS documents FROM events GROUP BY 1, 2")
 def route_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Tumbling-window counts of a stream of routed events, run to the end of what is there."""
+    """Tumbling-window counts of a stream of routed events, run to the end of what is there; the result is a table in the shared
+    folder, written anew by each trigger."""
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("route"))
-    name = f"routes_{abs(hash(d)) % 10**9}"
-    q = ingest.route_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start_at"), "route", "documents")
+    folder = f"{shared_folder(spark)}/maskwright/stream-{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    ingest.route_counts(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select(F.col("window.start").cast("timestamp_ntz").alias("start_at"), "route", "documents")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import structure, text, tokens
 from maskwright.functions.rules import RULES, detect, rule_places
-from maskwright.functions.spans import resolve
-from maskwright.operators import gate, glossary, pseudonyms, tidy
+from maskwright.functions.spans import places, resolve
+from maskwright.operators import confirm, gate, glossary, pseudonyms, tidy
 from maskwright.plans.rule_queries import table
 from maskwright.plans.staging import settle
-from maskwright.sources import files
+from maskwright.sources import files, providers
 
 QUERIES, ORACLES = {}, {}
 EMAIL = next(p for n, _, p, *_ in RULES if n == "email")
@@ -61,9 +61,9 @@ def sound_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", text.sound(n).alias("sound"), text.loose(n).alias("loose"), text.family(n).alias("family"))
 
 
-@query("is_latin", "SELECT doc_id, regexp_full_match(w, '[A-Za-z0-9 _\\-.]+') AS latin FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents)")
+@query("is_latin", "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[A-Za-z0-9 _\\-.]+')))::BIGINT AS latin FROM documents")
 def is_latin(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.is_latin(F.split("text", " ")[0]).alias("latin"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", " "), text.is_latin)).cast("long").alias("latin"))
 
 
 @query("sha16", "SELECT doc_id, substr(sha256(text), 1, 16) AS sha FROM documents")
@@ -79,13 +79,25 @@ def clean_surface(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.clean_surface(raw).alias("surface"))
 
 
-@query("honorifics")
+@query("honorifics", "SELECT n_nationkey, e AS \"end\", CASE WHEN e = '이' AND n_nationkey % 2 = 1 THEN '보람이' WHEN e = '' THEN '보람' ELSE '보람' END AS bare FROM (SELECT n_nationkey, unnest(['ちゃん', 'さん', 'くん', '様', 'さま', '씨', '님', '이', '']) AS e FROM nation)")
 def honorifics(spark: SparkSession, d: str) -> DataFrame:
-    """Names built from the nation table with each honorific, and the linking vowel before a particle."""
-    ends = [*text.HONORIFICS, "이"]
+    """A name with each honorific, and the linking vowel before a particle or not."""
+    ends = [*text.HONORIFICS, "이", ""]
     rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, ends))).alias("end"))
-    name = F.concat(F.lit("하늘"), F.col("end"))
-    return rows.select("n_nationkey", "end", text.without_honorific(name, F.lit("가")).alias("bare"))
+    name = F.concat(F.lit("보람"), F.col("end"))
+    return rows.select("n_nationkey", "end", text.without_honorific(name, F.when(F.col("n_nationkey") % 2 == 0, "가").otherwise("X")).alias("bare"))
+
+
+@query("same_person", """WITH x AS (SELECT c_custkey, c_custkey % 18 AS a, (c_custkey * 7 + c_nationkey) % 18 AS b, c_nationkey % 3 <> 0 AS given FROM customer) SELECT c_custkey, a // 2 = b // 2 AND given AS same, a // 2 = b // 2 AS family FROM x""")
+def same_person(spark: SparkSession, d: str) -> DataFrame:
+    """Two names from nine family names in two spellings each, whole in one slot or swapped, with a given name that sounds alike."""
+    k, own = F.col("c_custkey"), F.array(*[F.lit(g[i]) for g in text.FAMILY_GROUPS[:9] for i in (0, 1)])
+    a, b = F.element_at(own, (k % 18 + 1).cast("int")), F.element_at(own, ((k * 7 + F.col("c_nationkey")) % 18 + 1).cast("int"))
+    given = F.when(F.col("c_nationkey") % 3 == 0, "tsubaki").otherwise("sora")
+    whole = F.concat(given, F.lit(" "), b)
+    bf, bg = text.split_full_name(F.when(k % 2 == 0, whole).otherwise(""), F.when(k % 2 == 0, "").otherwise(whole))
+    rows = table(spark, d, "customer").select("c_custkey", a.alias("a"), b.alias("b"), bf.alias("bf"), bg.alias("bg"))
+    return rows.select("c_custkey", text.same_person(F.col("a"), F.lit("seora"), F.col("bf"), F.col("bg")).alias("same"), text.same_family(F.col("a"), F.col("b")).alias("family"))
 
 
 @query("similarity")
@@ -96,11 +108,14 @@ def similarity(spark: SparkSession, d: str) -> DataFrame:
     return n.join(m, "n_regionkey").filter("n_name < other").select("n_name", "other", F.round(text.similarity(F.lower("n_name"), F.lower("other")), 6).alias("ratio"))
 
 
-@query("sentences", r"SELECT doc_id, len(s)::BIGINT AS n, array_to_string(s, '|') = array_to_string(list_filter(s, lambda x: x <> ''), '|') AS whole, coalesce(s[1], '') AS first FROM (SELECT doc_id, list_filter(regexp_extract_all(string_split_regex(text, '[\r\n]')[1], '[^\n.!?。！？]*(?:[.!?。！？]+|$)[ \t]*'), lambda x: x <> '') AS s FROM documents)")
+_LINE = r"regexp_extract_all(substr(l, length(regexp_extract(l, '^\s*(?:(?:[-*+]|\d+[.)]|#{1,6}|>)\s+)?', 0)) + 1), '[^\n.!?。！？]*(?:[.!?。！？]+|$)[ \t]*')"
+
+
+@query("sentences", rf"SELECT doc_id, sum(len(s))::BIGINT AS n, sum(len(array_to_string(s, '')))::BIGINT AS chars, max(len(s[1]))::BIGINT AS longest_first FROM (SELECT doc_id, list_filter({_LINE}, lambda x: x <> '') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) GROUP BY doc_id")
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    first = F.split("text", r"[\r\n]")[0]
-    rows = table(spark, d, "documents").withColumn("s", F.filter(F.regexp_extract_all(first, F.lit(structure.SENTENCE), F.lit(0)), lambda x: x != ""))
-    return rows.select("doc_id", F.size("s").cast("long").alias("n"), (F.array_join("s", "|") == F.array_join(F.filter("s", lambda x: x != ""), "|")).alias("whole"), F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("first"))
+    """The sentences of every line of every document, without what opens the line."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.transform(structure.lines(F.col("text")), lambda x: structure.line_parts(x)["sentences"])).alias("s"))
+    return rows.groupBy("doc_id").agg(F.sum(F.size("s")).cast("long").alias("n"), F.sum(F.length(F.array_join("s", ""))).cast("long").alias("chars"), F.max(F.length(F.get("s", F.lit(0)))).cast("long").alias("longest_first"))
 
 
 @query("lines", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT - (CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS n FROM documents")
@@ -116,9 +131,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.length(F.array_join(F.col("c.chunk"), "")).cast("long").alias("chars"), (F.array_join(F.col("c.chunk"), "") == F.col("text")).alias("whole"), (place & F.forall("c", lambda x: F.length(x["chunk"]) <= 300)).alias("within"))
 
 
-@query("title_names", r"SELECT doc_id, len(x)::BIGINT AS n, array_to_string(x, '|') AS names FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '" + structure.TITLE_NAME + r"') AS x FROM documents WHERE lang = 'en') WHERE len(x) > 0")
+@query("title_names", r"SELECT doc_id, len(x)::BIGINT AS n, array_to_string(x, '|') AS names FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\p{P}\p{S}\p{Z}]', '_', 'g'), '" + structure.TITLE_NAME + r"') AS x FROM documents) WHERE len(x) > 0")
 def title_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter("lang = 'en'").withColumn("x", structure.title_names(F.col("text"))).filter(F.size("x") > 0)
+    rows = table(spark, d, "documents").withColumn("x", structure.title_names(F.col("text"))).filter(F.size("x") > 0)
     return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.array_join("x", "|").alias("names"))
 
 
@@ -132,8 +147,7 @@ def code_names(spark: SparkSession, d: str) -> DataFrame:
 DEFINED = "concat(p_name, case p_partkey % 3 when 0 then ' (' else '(' end, p_brand, ') and (', p_type, ')')"
 @query("definitions", "SELECT p_partkey, p_brand AS inner_text FROM part WHERE ends_with(p_name, 'ring') AND length(p_brand) >= 2")
 def definitions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").filter(F.col("p_name").endswith("ring"))
-    return rows.select("p_partkey", F.explode(structure.definitions(F.expr(DEFINED), "ring")).alias("inner_text"))
+    return table(spark, d, "part").select("p_partkey", F.explode(structure.definitions(F.expr(DEFINED), "ring")).alias("inner_text"))
 
 
 @query("glossary_match", f"""WITH {G}, s AS (SELECT id, kind, {EFFECTIVE} AS lv, unnest(surfaces) AS s FROM g), t AS (SELECT p_partkey, 'see ' || lower(p_name) || '; x' || p_name || ' ' AS t FROM part),
@@ -251,11 +265,11 @@ def token_repair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", tokens.repair(F.expr(OUT), tokens.tokens(F.expr(TOKENS))).alias("repaired"))
 
 
-@query("token_report", "SELECT o_orderkey, 2::BIGINT AS input_unique, (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS preserved_unique, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '[ORG_' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '],' END || '[PERSON_' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || ']' AS missing, '[URL_001]' AS invented FROM orders")
+@query("token_report", "SELECT o_orderkey, 2::BIGINT AS input_unique, (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS preserved_unique, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '[ORG_' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '],' END || '[PERSON_' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || ']' AS missing, '[URL_001]' AS invented, '' AS malformed FROM orders")
 def token_report(spark: SparkSession, d: str) -> DataFrame:
     out = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("[ORG_"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("] [URL_001]"))).otherwise(F.lit("[URL_001]"))
     rows = table(spark, d, "orders").select("o_orderkey", tokens.report(F.expr(TOKENS), out).alias("r"))
-    return rows.select("o_orderkey", "r.input_unique", "r.preserved_unique", F.array_join("r.missing", ",").alias("missing"), F.array_join("r.invented", ",").alias("invented"))
+    return rows.select("o_orderkey", F.array_join("r.malformed", ",").alias("malformed"), "r.input_unique", "r.preserved_unique", F.array_join("r.missing", ",").alias("missing"), F.array_join("r.invented", ",").alias("invented"))
 
 
 @query("reduce_context", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '- kept one. ' ELSE '- ' END || chr(10) || 'last.' AS kept FROM orders")
@@ -264,14 +278,14 @@ def reduce_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", structure.reduce_context(t, F.array(F.lit("[TERM_01]")), tokens.tokens).alias("kept"))
 
 
-@query("tidy_spans")
+@query("tidy_spans", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END::BIGINT AS n, CASE WHEN p_partkey % 2 = 0 THEN length(p_name) ELSE length(p_name) - 1 + 3 END::BIGINT AS chars FROM part")
 def tidy_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Title-case words of documents as a detector's person spans, merged and cleaned."""
-    from maskwright.functions.spans import SPANS, places
-
-    words = F.transform(places(F.col("text"), r"\b[A-Z][a-z]+\b"), lambda x, i: F.struct(x["start"], x["end"], F.lit("PERSON").alias("type"), F.lit("llm").alias("source"), i.alias("ord"), *[F.lit(None).cast("string").alias(c) for c in ("entity_id", "token", "render")], F.lit(None).cast("int").alias("level")))
-    rows = table(spark, d, "documents").withColumn("s", tidy.tidy(F.col("text"), words.cast(SPANS)))
-    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long").alias("chars"))
+    """Words as a detector's person spans: two next to each other are one name, three are a list; times are no address."""
+    t = F.concat(F.initcap("p_name"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" Ann"), F.lit(" at 09:15"))
+    named = F.transform(places(F.col("text"), r"\b[A-Z][a-z]+\b"), lambda x: F.struct(x["start"], x["end"], F.lit("PERSON").alias("type")))
+    timed = F.transform(places(F.col("text"), r"\d\d:\d\d"), lambda x: F.struct(x["start"], x["end"], F.lit("ADDRESS").alias("type")))
+    rows = table(spark, d, "part").select("p_partkey", t.alias("text")).withColumn("s", tidy.tidy(F.col("text"), F.concat(named, timed)))
+    return rows.select("p_partkey", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long").alias("chars"))
 
 
 @query("markup_parse", "SELECT n_nationkey AS id, 'see ' || n_name || ' now' AS text, 4::BIGINT AS start_at, (4 + length(n_name))::BIGINT AS end_at, 'ORG' AS type, 'e' || n_nationkey AS entity_id FROM nation")
@@ -280,18 +294,22 @@ def markup_parse(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_markup(rows).select("id", "text", F.inline("spans")).select("id", "text", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "type", "entity_id")
 
 
-@query("model_json", "SELECT event_id, coalesce(len(json_keys(props)), 0)::BIGINT AS n FROM events")
+@query("model_json", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name || '|x' ELSE '' END AS found, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE '' END AS family, '' AS given FROM nation")
 def model_json(spark: SparkSession, d: str) -> DataFrame:
-    """JSON that does not parse counts as empty."""
-    got = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"})
-    return table(spark, d, "events").select("event_id", F.coalesce(F.size(got), F.lit(0)).cast("long").alias("n"))
+    """Replies of a model: whole, cut off, and without the list that was asked for."""
+    k, name = F.col("n_nationkey") % 3, F.col("n_name")
+    listed = F.concat(F.when(k == 2, '{"others": [').otherwise('{"entities": ['), F.lit('{"text": "'), name, F.lit('", "type": "ORG"}, {"text": "x"}]'), F.when(k == 1, "").otherwise("}"))
+    roman = F.when(k == 0, F.concat(F.lit('{"family": " '), name, F.lit(' ", "nationality": null}'))).when(k == 1, '{"family": "').otherwise("[]")
+    rows = table(spark, d, "nation").select("n_nationkey", providers.parsed(listed, "entities", "text:string,type:string").alias("e"), providers.roman_parts(roman).alias("r"))
+    return rows.select("n_nationkey", F.array_join(F.transform("e", lambda x: x["text"]), "|").alias("found"), "r.family", "r.given")
 
 
-@query("turn_items", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS item FROM conversations")
+@query("turn_items", "WITH h AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS item FROM conversations) SELECT conv_id::VARCHAR AS file, min(turn) FILTER (role = 'user')::INT AS n, CASE WHEN count(*) FILTER (role <> 'user') > 0 THEN 3 ELSE 2 END AS level FROM h WHERE item > 0 GROUP BY conv_id, item")
 def turn_items(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn belongs to the last user turn above it: the running item number of the checklist parsers."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sum((F.col("role") == "user").cast("long")).over(w).alias("item"))
+    """Conversations as checklists: user turns are headings, every other line belongs to the last heading above it."""
+    line = F.when(F.col("role") == "user", F.concat(F.lit("## [ ] P"), tokens.padded(F.col("turn"), 3), F.lit(" · t"))).otherwise("- level: 3")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").cast("int").alias("n"), line.alias("line"))
+    return confirm.items(rows, confirm.PENDING_HEAD).select("file", "n", "level")
 
 
 __all__ = ["ORACLES", "QUERIES", "rule_places"]

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import no_spans, span
@@ -145,6 +145,18 @@ class HttpProvider:
         return self._ask(f"Summarise in {lang} in three to five points. Copy tokens in square brackets exactly.", text, temperature=0.2).strip()
 
 
+def parsed(reply: Column, name: str, fields: str) -> Column:
+    """The items (array of struct ``fields``) of a model's JSON reply; what does not parse, or lacks ``name``, has none."""
+    kind = f"array<struct<{fields}>>"
+    return F.coalesce(F.from_json(reply, f"struct<{name}:{kind}>")[name], F.array().cast(kind))
+
+
+def roman_parts(reply: Column) -> Column:
+    """family, given, nationality of a reply, trimmed and in lower case; blanks where it does not parse."""
+    got = F.from_json(reply, "struct<family:string,given:string,nationality:string>")
+    return F.struct(*[F.coalesce(F.lower(F.trim(got[c])), F.lit("")).alias(c) for c in ("family", "given", "nationality")])
+
+
 #: The baseline model, its threshold, and what its labels are called here.
 GLINER_MODEL, GLINER_THRESHOLD = "urchade/gliner_multi_pii-v1", 0.5
 GLINER_LABELS = {"person": "PERSON", "email": "EMAIL", "phone number": "PHONE", "postal code": "POSTAL", "address": "ADDRESS", "url": "URL", "national id number": "ID_NUMBER", "organization": "ORG"}
