@@ -47,8 +47,12 @@ def _terms(windows: DataFrame) -> DataFrame:
 
 def corpus_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """term, frequency over all words of all documents, for the given terms."""
-    vocabulary, _ = bounded_broadcast(terms.select("term").distinct(), 1_000_000)
-    return documents.select(F.explode(words_of(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("frequency"))
+    vocabulary, small = bounded_broadcast(terms.select("term").distinct(), 1_000_000)
+    words = documents.select(F.explode(words_of(F.col("text"))).alias("term"))
+    if small:
+        return words.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("frequency"))
+    # counted before they are shuffled, so the most frequent word is one row for each task
+    return words.groupBy("term").agg(F.count("*").alias("frequency")).join(vocabulary, "term")
 
 
 def search_plan(windows: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -71,9 +75,15 @@ def postings(documents: DataFrame, plan: DataFrame, length: int) -> DataFrame:
     roles = plan.select(F.col("term1").alias("term"), F.lit(True).alias("leads")).unionByName(plan.select(F.col("term2").alias("term"), F.lit(False).alias("leads")))
     closing = documents.sparkSession.createDataFrame([(_CLOSING, False)], "term string, leads boolean")
     roles = roles.unionByName(closing).groupBy("term").agg(F.max("leads").alias("leads"))
-    listed, _ = bounded_broadcast(roles, 1_000_000)
+    listed, small = bounded_broadcast(roles, 1_000_000)
     texts = documents.select(F.col("doc_id"), words_of(F.col("text")).alias("words"))
-    every = texts.select("doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit(_CLOSING)))).alias("pos", "term")).join(listed, "term")
+    exploded = F.posexplode(F.concat("words", F.array(F.lit(_CLOSING)))).alias("pos", "term")
+    if small:
+        every = texts.select("doc_id", "words", exploded).join(listed, "term")
+    else:  # words travel alone; which places count goes back to the text once
+        rows = stage(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+        at = rows.select("row", exploded).join(listed, "term").groupBy("row").agg(F.collect_list(F.struct("term", "leads", "pos")).alias("at"))
+        every = rows.join(at, "row").select("doc_id", "words", F.inline("at"))
     lead = F.least(F.col("pos"), F.lit(length - 1))
     near = F.when(F.col("leads"), F.slice("words", F.col("pos") - lead + 1, lead + length))
     return stage(every.select("term", "doc_id", "pos", lead.alias("lead"), near.alias("near")), "postings")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.textblocks import NOT_SPACE, Words, blocks, byte_class
-from maskwright.llm.workspace import stage
+from maskwright.llm.workspace import bounded_broadcast, stage
 
 SYMBOLS = b"#*$%&|<>"
 RULES = ("symbols", "odd_endings", "repeats", "variety", "capitals", "shouting", "dup_lines", "word_length", "sentences", "function_words", "length")
@@ -154,7 +154,8 @@ def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     posterior = estimate(counted)["posterior"]
     scores = spark.createDataFrame([(k, float(v)) for k, v in posterior.items()], "pattern string, quality double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.join(F.broadcast(scores), "pattern").select("doc_id", *_STATS, failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality")
+    listed, _ = bounded_broadcast(scores, 3 ** len(RULES))
+    return measured.join(listed, "pattern").select("doc_id", *_STATS, failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality")
 
 
 def _select(batches: Iterator[pa.RecordBatch], posterior: dict[str, float], threshold: float) -> Iterator[pa.RecordBatch]:

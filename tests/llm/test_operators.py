@@ -61,6 +61,16 @@ def test_decontamination(spark, docs, texts):
     assert len(got) == len(texts)
 
 
+def test_decontamination_without_broadcasts(spark, docs, texts, monkeypatch):
+    """A benchmark too large for a broadcast gives the same rows by shuffled joins."""
+    source = next(t for i, t in texts if i == 9005).split()
+    bench = spark.createDataFrame([(k, " ".join(source[3 * k : 3 * k + 14])) for k in range(12)] + [(99, "x y z")], "item_id long, text string")
+    rows = lambda: sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    want = rows()
+    monkeypatch.setattr(decontaminate, "bounded_broadcast", lambda df, limit: (df, False))
+    assert rows() == want and any("contaminated=True" in r for r in want)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "the red fox sat there quietly"), (2, "red big old fox"), (3, "fox a red")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "red fox")], "item_id long, text string")
@@ -175,6 +185,57 @@ def test_quality(spark, docs, texts, small):
     assert {r["doc_id"] for r in quality_rules.keep_good(full).collect()} == {r["doc_id"] for r in quality_rules.judge(full).filter("kept").collect()}
 
 
+def _plain_votes(text):
+    """The rules on one text, word by word."""
+    t = text or ""
+    w = SPACE.findall(t)
+    n, odd = max(len(w), 1), "#*$%&|<>"
+    three = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    again = len({k + j for k in range(len(w) - 2) if three[tuple(w[k : k + 3])] > 1 for j in range(3)})
+    upper, lower_ = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+    letters, mean, short = max(upper + lower_, 1), sum(map(len, w)) / n, len(w) < 20
+    expected = min(1.0, 6.0 / math.sqrt(n))
+    symbols, ends = sum(c in odd for c in t), sum(x[-1] in odd for x in w)
+    lines = [x for x in t.split("\n") if SPACE.search(x)]
+    stops, brief = sum(x[-1] in ".!?,;:" for x in w), sum(len(x.encode()) <= 3 for x in w)
+    shouts, kinds = sum(x.endswith("!!") for x in w), len(set(w))
+    pairs = [
+        (symbols > 0.10 * n, symbols <= 0.005 * n), (ends > 0.05 * n, False), (again > 0.30 * n, again <= 0.05 * n and not short), (kinds < 0.25 * expected * n and not short, kinds > 0.6 * expected * n),
+        (upper > 0.4 * letters, upper < 0.1 * letters), (shouts > 0.05 * n, False), (len(lines) - len(set(lines)) > 3, False), (mean < 2.5 or mean > 12, False),
+        (stops < 0.01 * n or stops > 0.5 * n, 0.04 * n < stops < 0.3 * n), (brief < 0.03 * n, 0.15 * n < brief < 0.8 * n), (len(w) < 30, len(w) >= 80),
+    ]
+    return "".join("0" if junk else "1" if good else "2" for junk, good in pairs), len(w) < 50 or 100 * again > 50 * len(w)
+
+
+def _plain_posterior(patterns):
+    """Expectation-maximisation, pattern by pattern and rule by rule."""
+    total, m = sum(patterns.values()), len(next(iter(patterns)))
+    overall = [[sum(c for p, c in patterns.items() if p[j] == v) / total + 1e-3 for v in "012"] for j in range(m)]
+    share = {y: [[x * (2.0 if v == y else 1.0 if v == 2 else 0.2) for v, x in enumerate(row)] for row in overall] for y in (0, 1)}
+    share = {y: [[x / sum(row) for x in row] for row in rows] for y, rows in share.items()}
+    good, post = 0.8, {}
+    for _ in range(100):
+        for p in patterns:
+            logs = [math.log(q) + sum(math.log(share[y][j][int(v)]) for j, v in enumerate(p)) for y, q in ((0, 1 - good), (1, good))]
+            post[p] = 1 / (1 + math.exp(max(-500.0, min(500.0, logs[0] - logs[1]))))
+        for y in (0, 1):
+            weight = {p: c * (post[p] if y else 1 - post[p]) for p, c in patterns.items()}
+            share[y] = [[(sum(x for p, x in weight.items() if p[j] == str(v)) + overall[j][v]) / (sum(weight.values()) + sum(overall[j])) for v in range(3)] for j in range(m)]
+        before, good = good, min(max(sum(c * post[p] for p, c in patterns.items()) / total, 1e-3), 1 - 1e-3)
+        if abs(before - good) < 1e-9:
+            break
+    return post
+
+
+def test_kept_against_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    plain = {r["doc_id"]: _plain_votes(r["text"]) for r in docs.collect()}
+    post = _plain_posterior(Counter(p for p, _ in plain.values()))
+    got = {r["doc_id"]: (r["kept"], r["quality"]) for r in quality_rules.judge(docs).collect()}
+    assert all(abs(got[i][1] - post[p]) < 1e-6 for i, (p, _) in plain.items())
+    assert {i: k for i, (k, _) in got.items()} == {i: not failed and post[p] >= 0.5 for i, (p, failed) in plain.items()}
+
+
 def test_estimate_recovers_accuracies():
     rng = random.Random(2)
     patterns = Counter()
