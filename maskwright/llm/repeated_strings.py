@@ -17,9 +17,12 @@ what it has read before anything is shuffled, so thousands of copies leave a tas
 go to one task, next to each other, which compresses them well; those of a bucket with many entries are dealt among several by
 their later pointers. Sorting, spilling and joining are Spark's; no bucket has to fit memory. Texts travel compressed.
 
-Suffixes are told apart by 52 bits of their least q-gram and 64 bits of their later pointers together. Null text: empty. Texts
-under ``length`` bytes: nothing removed. Rows that repeat a doc_id are one document given more than once. Null doc_id: before
-all others. Empty table: empty result. Other columns are ignored, whatever their names.
+Suffixes are told apart by 52 bits of their least q-gram and 64 bits of their later pointers together. The identifier of a bucket
+is a hash of what its suffixes begin with and not its rank, so that tasks agree on it without a sort of all suffixes.
+
+Null text: empty. Texts under ``length`` bytes: nothing removed. Null doc_id: before all others. Equal rows are one text given more
+than once, and cut alike. Different texts under one doc_id, or none, are texts of their own, in the order of a hash. Empty table:
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.textblocks import blocks, mix
-from maskwright.llm.workspace import stage
+from maskwright.llm.workspace import ranked, stage
 
 _Q = 32
 _SEGMENT = 2 << 20
@@ -253,11 +256,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_ranges(documents: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, start, stop: byte ranges (they may overlap) that together cover what is to be removed."""
+def repeated_ranges(narrow: DataFrame, length: int = 100) -> DataFrame:
+    """doc_id, start, stop: byte ranges (they may overlap) that together cover what is to be removed, of texts (doc_id, text: bytes)
+    that a doc_id tells apart and orders."""
     if length < 2 * _Q:
         raise ValueError(f"strings of at least {2 * _Q} bytes")
-    narrow = _narrow(documents)
     met = narrow.mapInArrow(functools.partial(_enter, length=length), _ENTRY).repartition("bucket")
     level = stage(_refined(met), "entries")
     whole = level.filter("again").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("stop"))
@@ -269,14 +272,27 @@ def repeated_ranges(documents: DataFrame, length: int = 100) -> DataFrame:
     return whole.unionByName(marked.select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.abs("n") + F.lit(length - 1)).alias("stop")))
 
 
-def _narrow(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+def _narrow(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text: bytes; and, if several texts share a doc_id or have none, the table key, doc_id of the numbers that then stand
+    for the pairs of doc_id and text, in the order of doc_id)."""
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    rows = documents.select(doc_id, text)
+    digests = rows.select("doc_id", F.xxhash64("text").alias("digest"))
+    if digests.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").isEmpty():
+        return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))), None
+    keys = stage(ranked(digests.distinct(), ["doc_id", "digest"], "key"), "keys")
+    named = keys.select("key", F.col("doc_id").alias("named"), "digest")
+    met = rows.withColumn("digest", F.xxhash64("text")).join(named, F.col("doc_id").eqNullSafe(F.col("named")) & (F.xxhash64("text") == named["digest"]))
+    return stage(met.select(F.col("key").alias("doc_id"), "text"), "keyed"), keys.select("key", F.col("doc_id").alias("named"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) for each row of (doc_id, text)."""
-    ranges = repeated_ranges(documents, length).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("r"))
-    texts = _narrow(documents).mapInArrow(_pack, "doc_id long, text binary").join(ranges, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"))
+    narrow, keys = _narrow(documents)
+    ranges = repeated_ranges(narrow, length).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("r"))
+    texts = narrow.mapInArrow(_pack, "doc_id long, text binary").join(ranges, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"))
     out = texts.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if keys is not None:
+        out = out.join(keys, F.col("doc_id") == F.col("key")).withColumn("doc_id", F.coalesce("named", F.lit(_NULL_ID)))
     doc_id = F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -100,3 +100,15 @@ def hot_join(many: DataFrame, few: DataFrame, key: str, n: str, by: list[str], h
     left = many.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_cell", cell).drop("_key", "_cells")
     right = few.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > from_, cells - 1).otherwise(0)))).drop(n)
     return left.join(right, [key, "_cell"], how).drop("_cell")
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with 0, 1, ... in the order of ``order`` over the whole table: sorted by ranges that Spark samples, each counted and
+    numbered by itself. One row for each range is all that meets in one task."""
+    ranges = partitions(df.sparkSession)
+    dealt = stage(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    turn = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_turn", turn).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_turn") - 1).cast("long")).drop("_part", "_turn", "_start")

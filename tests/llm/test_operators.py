@@ -636,3 +636,29 @@ def test_surrogates_of_all_documents(spark, small):
             want += (again.sub(lambda m: words[m.group()], gap) if again else gap) + table.get(text[a:b], "")
             last = b
         assert (r["text"] or "", r["n"]) == (want, len(found)), r["doc_id"]
+
+
+def test_repeated_strings_of_rows_that_share_an_id(spark):
+    """Texts under one doc_id, or none, are texts of their own; equal rows are one text, cut alike."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(400), text(300), text(250)
+    rows = [(5, a), (5, b + a[50:250]), (None, c), (None, b[10:200] + "x"), (7, a), (7, a), (2, c[:150]), (9, None)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, key int").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in repeated_strings.remove_repeats(docs).collect())
+
+    def removed(order):
+        seen, out = set(), {}
+        for row in order:
+            data, gone = (row[1] or "").encode(), set()
+            for k in range(len(data) - 99):
+                if data[k : k + 100] in seen:
+                    gone |= set(range(k, k + 100))
+                seen.add(data[k : k + 100])
+            out[row] = len(gone)
+        return out
+
+    orders = [[*x, (2, c[:150]), *y, (7, a), (9, None)] for x in ([(None, c), rows[3]], [rows[3], (None, c)]) for y in ([rows[0], rows[1]], [rows[1], rows[0]])]
+    assert got in [sorted((str(i), len((t or "").encode()), removed(o)[(i, t)]) for i, t in rows) for o in orders]
+    n = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 3).alias("g"))
+    assert sorted((r["k"], r["rank"]) for r in workspace.ranked(n, ["k"], "rank").collect()) == [(k, k) for k in range(500)]
