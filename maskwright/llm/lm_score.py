@@ -86,7 +86,7 @@ def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.nd
 def _gather(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=9)  # a block is written, and shuffled once
     ids: list[int | None] = []
     held: list[bytes] = []
     size = 0
