@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.workspace import bounded_broadcast, stage
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLOSING = ""
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased (A-Z) words: runs of digits, letters a-z and anything beyond ASCII. Null: none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.octet_length(whole) == F.char_length(whole)  # cheaper to lower-case; beyond ASCII other letters must stay
+    lower = F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, _UPPER, _LOWER))
+    return F.array_remove(F.split(lower, _BETWEEN_WORDS), "")
 
 
 def benchmark_windows(benchmark: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:

@@ -71,6 +71,13 @@ def test_decontamination_without_broadcasts(spark, docs, texts, monkeypatch):
     assert rows() == want and any("contaminated=True" in r for r in want)
 
 
+def test_words_beyond_ascii(spark):
+    odd = [None, "", " ", "A", "É", "ÉA b", "\x00A\x7f", "İA ſK", "a-b  C9", "日本 X", "\U0001F600Z\U0001F600", " lead", "trail ", "[X]^_`{Y}", "@Q\n\nÑandÚ Z"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, text string")
+    got = dict(rows.select("k", decontaminate.words_of(F.col("text"))).collect())
+    assert got == {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for k, t in enumerate(odd)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "the red fox sat there quietly"), (2, "red big old fox"), (3, "fox a red")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "red fox")], "item_id long, text string")
