@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.rules import detect
 from maskwright.functions.spans import resolve
-from maskwright.operators import pseudonyms
+from maskwright.operators import pseudonyms, router
+from maskwright.sources.providers import FixtureProvider
 from maskwright.streaming import ingest
 
 
@@ -21,3 +22,20 @@ def test_masking_numbers_once_for_all_its_results(spark):
     assert "Aggregate" not in tokens._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in restore._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["doc_id"], r["masked"]) for r in masked.collect()} == {(k, f"to [EMAIL_{k % 2 + 1:03d}]") for k in range(6)}
+
+
+def test_a_model_is_asked_once_for_each_text(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    class Counted(FixtureProvider):  # here, so that workers get it by value
+        def extract_terms(self, text):
+            with open(log, "a") as f:
+                f.write(text + "\n")
+            return []
+
+    docs = spark.range(5).select(F.col("id").alias("doc_id"), F.concat(F.lit("a BrassWheel"), F.col("id").cast("string"), F.lit(" of HotGizmo")).alias("text"))
+    none = spark.createDataFrame([], "surface string")
+    glossary = spark.createDataFrame([(["Hot Gizmo"],)], "surfaces array<string>")
+    got = router.find_suspects(docs, glossary, none, spark.createDataFrame([], "doc_id long, surface string"), Counted)
+    assert sorted((r["doc_id"], r["key"]) for r in got.collect()) == [(k, f"brasswheel{k}") for k in range(5)]
+    assert len((tmp_path / "asked").read_text().splitlines()) == 5
